@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-BANDS, ROWS = 40, 4
+BANDS, ROWS = 32, 4
 #: Members of a band bucket up to which its pairs are candidates at once; larger buckets go through the prefix join.
 BUCKET_PAIRS = 256
 #: Members of a class of equal sets up to which all its pairs are listed; larger classes are listed as a star.
 CLASS_PAIRS = 64
+#: Ids up to which a set of wanted items is broadcast (about 16 MB); beyond it is shuffled.
+BROADCAST_IDS = 1_000_000
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -136,18 +138,19 @@ def shingle_hashes(text: Column, words: int = 3, pattern: str = "[a-z0-9_]+") ->
     return F.get(F.transform(F.array(tokens), shingles), F.lit(0))
 
 
-def _bands(sets: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
-    """(rep, band value) rows; ``sets`` has rep and sh."""
+def _sketches(hashed: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
+    """(item, h1, h2, m, bands): the band values of each item's set, whose class is told by two hashes and its size."""
+    ordered = hashed.select("item", F.sort_array("sh").alias("sh")).select("item", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("m"), "sh")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
                 values = band_hashes(dart_minhash(list(part["sh"]), bands * rows, seed=seed), rows)
-                yield pd.DataFrame({"rep": np.repeat(part["rep"].to_numpy(), bands), "band": values.reshape(-1)})
+                yield part[["item", "h1", "h2", "m"]].assign(bands=list(values))
 
-    kind = sets.schema["rep"].dataType.simpleString()
-    return sets.mapInPandas(run, f"rep {kind}, band bigint")
+    kind = ordered.schema["item"].dataType.simpleString()
+    return ordered.mapInPandas(run, f"item {kind}, h1 bigint, h2 int, m int, bands array<bigint>")
 
 
 def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -165,43 +168,49 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
 
 
-def set_classes(items: DataFrame, id_col: str, text_col: str, words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members: item, rep; sets: rep, sh, n_members) of the classes of items with equal, non-empty shingle sets.
+def _hashed(items: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    return items.select(F.col(id_col).alias("item"), shingle_hashes(F.col(text_col), words).alias("sh")).where(F.col("item").isNotNull() & (F.size("sh") > 0))
 
-    rep is the least id of the class.
-    """
-    hashed = items.select(F.col(id_col).alias("item"), shingle_hashes(F.col(text_col), words).alias("sh")).where(F.col("item").isNotNull() & (F.size("sh") > 0))
-    ordered = hashed.select("item", F.sort_array("sh").alias("sh"))
-    keyed = cut_lineage(ordered.select("item", "sh", F.xxhash64("sh").alias("h1"), F.hash("sh").alias("h2"), F.size("sh").alias("m")))
-    reps = keyed.groupBy("h1", "h2", "m").agg(F.min("item").alias("rep"), F.count_distinct("item").alias("n_members"))
-    members = keyed.select("item", "h1", "h2", "m").distinct().join(reps, ["h1", "h2", "m"]).select("item", "rep", "n_members")
-    # a class has one row of its rep in keyed unless the rep's row is repeated
-    sets = keyed.join(reps.select("rep", "n_members", "h1", "h2", "m"), [keyed["item"] == reps["rep"], *[keyed[c] == reps[c] for c in ("h1", "h2", "m")]], "inner").select("rep", "sh", "n_members")
-    return members, sets.dropDuplicates(["rep"])
+
+def _only(df: DataFrame, key: str, wanted: DataFrame, rows: int) -> DataFrame:
+    """Rows of ``df`` whose key is in ``wanted`` (``rows`` of them): a broadcast up to BROADCAST_IDS, else a shuffle."""
+    return df.join(F.broadcast(wanted) if rows <= BROADCAST_IDS else wanted, key, "left_semi")
 
 
-def similar_class_pairs(sets: DataFrame, threshold: float = 0.7, bands: int = BANDS, rows: int = ROWS, bucket_pairs: int = BUCKET_PAIRS, seed: int = 1) -> DataFrame:
-    """(rep_a, rep_b, inter, uni) of class representatives with Jaccard similarity of at least ``threshold``.
+def similar_classes(
+    items: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, words: int = 3,
+    bands: int = BANDS, rows: int = ROWS, bucket_pairs: int = BUCKET_PAIRS, seed: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """(members: item, rep, n_members; links: rep_a, rep_b, inter, uni).
 
-    Band buckets of more than ``bucket_pairs`` members are not expanded: their members go through an exact prefix join,
-    so no link is lost. A pair of similarity s is missed with a probability of (1 - s**rows)**bands.
+    A class holds the items of equal shingle sets, rep is its least id; links are the pairs of classes with a Jaccard
+    similarity of at least ``threshold``. Band buckets of more than ``bucket_pairs`` classes are not expanded: their
+    classes go through an exact prefix join, so no link is lost. A pair of similarity s is missed with a probability of
+    (1 - s**rows)**bands. Shingle sets are never shuffled for all items: only narrow sketches are, and the texts of
+    those items that are in a candidate pair are read once more.
     """
-    banded = cut_lineage(_bands(sets.select("rep", "sh"), bands, rows, seed))
+    sketches = cut_lineage(_sketches(_hashed(items, id_col, text_col, words), bands, rows, seed))
+    key = ["h1", "h2", "m"]
+    reps = sketches.groupBy(*key).agg(F.min("item").alias("rep"), F.count_distinct("item").alias("n_members"))
+    members = cut_lineage(sketches.select("item", *key).distinct().join(reps, key).select("item", "rep", "n_members"))
+    own = members.where("item = rep").select("rep", "n_members")
+    one = sketches.select(F.col("item").alias("rep"), "bands").join(own.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    banded = one.select("rep", F.explode("bands").alias("band")).repartition("band")
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = banded.join(sizes, "band")
     usual = shared.where(F.col("n") <= bucket_pairs)
     a, b = usual.alias("a"), usual.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
-    crowded = shared.where(F.col("n") > bucket_pairs).select("rep").distinct()
+    pairs = cut_lineage(a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct())
+    crowded = cut_lineage(shared.where(F.col("n") > bucket_pairs).select("rep").distinct())
     if not crowded.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(sets.select("rep", "sh").join(crowded, "rep", "left_semi"), threshold))
-    pairs = cut_lineage(pairs.distinct())
-    involved = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-    wanted = sets.select("rep", "sh").join(involved, "rep", "left_semi")
-    both = pairs.join(wanted.select(F.col("rep").alias("rep_a"), F.col("sh").alias("sh_a")), "rep_a").join(wanted.select(F.col("rep").alias("rep_b"), F.col("sh").alias("sh_b")), "rep_b")
-    inter = F.size(F.array_intersect("sh_a", "sh_b"))
-    counted = both.select("rep_a", "rep_b", inter.alias("inter"), (F.size("sh_a") + F.size("sh_b") - inter).alias("uni"))
-    return counted.where(F.col("inter") >= threshold * F.col("uni") - 1e-9)
+        sets = _hashed(_only(items.select(id_col, text_col), id_col, crowded.withColumnRenamed("rep", id_col), crowded.count()), id_col, text_col, words)
+        pairs = cut_lineage(pairs.unionByName(_prefix_pairs(sets.dropDuplicates(["item"]).withColumnRenamed("item", "rep"), threshold)).distinct())
+    involved = cut_lineage(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias(id_col)).distinct())
+    wanted = _hashed(_only(items.select(id_col, text_col), id_col, involved, involved.count()), id_col, text_col, words).dropDuplicates(["item"])
+    both = pairs.join(wanted.select(F.col("item").alias("rep_a"), F.col("sh").alias("sh_a")), "rep_a").join(wanted.select(F.col("item").alias("rep_b"), F.col("sh").alias("sh_b")), "rep_b")
+    counted = both.select("rep_a", "rep_b", F.size(F.array_intersect("sh_a", "sh_b")).alias("inter"), (F.size("sh_a") + F.size("sh_b")).alias("both"))
+    links = counted.select("rep_a", "rep_b", "inter", (F.col("both") - F.col("inter")).alias("uni"))
+    return members, links.where(F.col("inter") >= threshold * F.col("uni") - 1e-9)
 
 
 def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, words: int = 3, class_pairs: int = CLASS_PAIRS, **banding: int) -> DataFrame:
@@ -212,9 +221,7 @@ def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, threshold
     least id of the class, which also stands for it in links to other classes. No link between different texts is lost.
     Other columns are not read.
     """
-    members, sets = set_classes(items, id_col, text_col, words)
-    members = cut_lineage(members)
-    links = similar_class_pairs(sets, threshold, **banding)
+    members, links = similar_classes(items, id_col, text_col, threshold, words, **banding)
     small = F.col("n_members") <= class_pairs
     m = members.where("n_members > 1")
     x, y = m.where(small).alias("x"), m.where(small).alias("y")
@@ -233,11 +240,9 @@ def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, threshold
 def near_duplicate_classes(items: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, words: int = 3, **banding: int) -> DataFrame:
     """(item, class_id, n_members, n_links): each item with the least id of its class of equal sets, the size of that
     class and the number of other classes that it is similar to. Items without a shingle are left out."""
-    members, sets = set_classes(items, id_col, text_col, words)
-    members = cut_lineage(members)
-    links = similar_class_pairs(sets, threshold, **banding)
+    members, links = similar_classes(items, id_col, text_col, threshold, words, **banding)
     degree = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     return members.join(degree, "rep", "left").select("item", F.col("rep").alias("class_id"), "n_members", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-__all__ = ["band_hashes", "dart_minhash", "near_duplicate_classes", "near_duplicate_pairs", "set_classes", "shingle_hashes", "similar_class_pairs"]
+__all__ = ["band_hashes", "dart_minhash", "near_duplicate_classes", "near_duplicate_pairs", "shingle_hashes", "similar_classes"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import current_rows, current_rows_where, table
-from . import near_duplicates, splitting
+from . import documented_code, near_duplicates, splitting, tokenizing
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -36,11 +36,32 @@ def p4_pieces(spark: SparkSession, root: str) -> DataFrame:
     return _pieces(spark, root)
 
 
+def _documented(spark: SparkSession, root: str) -> DataFrame:
+    files = current_rows(table(spark, root, "source_file"), "file_id", ["path", "language", "text"])
+    symbols = current_rows(table(spark, root, "code_symbol"), "symbol_id", ["file_id", "name", "kind", "start_line", "end_line", "signature", "docstring"])
+    return documented_code.documented_functions(files, symbols)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return _documented(spark, root).select("file_id", "start_line").distinct()
+
+
+def p5_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return _documented(spark, root)
+
+
+def p6_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokenizing.encode_corpus(table(spark, root, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+    "p6_ids": p6_ids,
 }
 
 ORACLES: dict[str, str] = {}
