@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import current_rows, current_rows_where, table
-from . import documented_code, near_duplicates, splitting, tokenizing
+from . import documented_code, leakage, near_duplicates, nearest_vectors, splitting, tokenizing
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -54,14 +54,48 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, root, "documents"))
 
 
+#: Cosine 0.7 as a distance of vectors of length 1.
+COSINE_07 = (2 - 2 * 0.7) ** 0.5
+
+
+def _neighbours(spark: SparkSession, root: str, field: str) -> DataFrame:
+    if field == "spectral_features":
+        rows = current_rows(table(spark, root, "pattern_signature"), "sig_id", ["spectral_features"])
+        return nearest_vectors.nearest_vectors(rows, "sig_id", "spectral_features", 8, 0.2)
+    rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["centroid"])
+    return nearest_vectors.nearest_vectors(rows, "pattern_id", "centroid", 64, COSINE_07, unit=True)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    parts = [nearest_vectors.neighbour_pairs(_neighbours(spark, root, f)).select(F.lit(f).alias("vector_field"), "id_a", "id_b") for f in ("spectral_features", "centroid")]
+    return parts[0].unionByName(parts[1])
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_matches(spark, root).select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked_documents(table(spark, root, "documents"), table(spark, root, "eval_item"))
+
+
+def p7_proximity(spark: SparkSession, root: str) -> DataFrame:
+    tests = leakage.test_items(table(spark, root, "eval_item"), "item_id", "text")
+    return leakage.PositionalIndex(table(spark, root, "documents"), tests).proximity_matches()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
+    "p7_proximity": p7_proximity,
 }
 
 ORACLES: dict[str, str] = {}
