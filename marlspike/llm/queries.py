@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import current_rows, current_rows_where, table
-from . import documented_code, leakage, near_duplicates, nearest_vectors, splitting, tokenizing
+from . import clustering, documented_code, leakage, near_duplicates, nearest_vectors, residue, splitting, tokenizing
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -54,6 +54,34 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, root, "documents"))
 
 
+def _clusters(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["centroid"])
+    return clustering.similarity_clusters(rows, "pattern_id", "centroid", 64)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    members, _ = _clusters(spark, root)
+    return members.select(F.col("cluster").alias("cluster_id"), F.col("id").alias("pattern_id"))
+
+
+def p2_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Each cluster with its size and its most typical members, these with their exemplars, cluster_size and coherence_score."""
+    members, links = _clusters(spark, root)
+    shape = clustering.describe_clusters(members, links)
+    rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["exemplars", "cluster_size", "coherence_score"])
+    typical = shape.select("cluster", F.posexplode("typical").alias("rank", "pattern_id")).join(rows, "pattern_id")
+    listed = typical.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "cluster_size", "coherence_score", "exemplars"))).alias("members"))
+    return shape.drop("typical").join(listed, "cluster").withColumnRenamed("cluster", "cluster_id")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue_records(table(spark, root, "documents"))
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue_scores(table(spark, root, "documents"))
+
+
 #: Cosine 0.7 as a distance of vectors of length 1.
 COSINE_07 = (2 - 2 * 0.7) ** 0.5
 
@@ -87,6 +115,8 @@ def p7_proximity(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
@@ -96,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p7_proximity": p7_proximity,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 
 ORACLES: dict[str, str] = {}
