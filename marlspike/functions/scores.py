@@ -37,16 +37,20 @@ def sigmoid_z(score: Column, mean: Column, deviation: Column) -> Column:
     return F.when(deviation > 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-0.5 * (score - mean) / deviation))).otherwise(0.5)
 
 
-def lexical_score(tokens: Column, symbol: Column, path: Column, code: Column) -> Column:
-    """Hits of query tokens: 2.0 in the symbol, 0.8 in a path segment and 0.3 more in the last, 1.0 in the first 2,000 characters."""
+def lexical_fields(symbol: Column, path: Column, code: Column) -> list[Column]:
+    """What ``lexical_score`` reads, lower-cased once: select it before a join, so it is not made anew for each token."""
     sym, where, text = (F.lower(F.coalesce(c, F.lit(""))) for c in (symbol, path, F.substring(code, 1, 2000)))
-    last = F.regexp_extract(where, r"([^/\\]*)$", 1)
+    return [sym.alias("_symbol"), F.regexp_replace(where, r"[/\\]", "\n").alias("_segments"), F.regexp_extract(where, r"([^/\\]*)$", 1).alias("_last"), text.alias("_code")]
+
+
+def lexical_score(tokens: Column) -> Column:
+    """Hits of query tokens in ``lexical_fields``: 2.0 in the symbol, 0.8 in a path segment and 0.3 more in the last, 1.0 in the
+    first 2,000 characters."""
 
     def one(t: Column) -> Column:
-        flat = F.regexp_replace(where, r"[/\\]", "\n")
-        in_path, in_last = F.contains(flat, t), F.contains(last, t)
         return (
-            F.when(F.contains(sym, t), 2.0).otherwise(0.0) + F.when(in_path, 0.8).otherwise(0.0) + F.when(in_last, 0.3).otherwise(0.0) + F.when(F.contains(text, t), 1.0).otherwise(0.0)
+            F.when(F.contains("_symbol", t), 2.0).otherwise(0.0) + F.when(F.contains("_segments", t), 0.8).otherwise(0.0)
+            + F.when(F.contains("_last", t), 0.3).otherwise(0.0) + F.when(F.contains("_code", t), 1.0).otherwise(0.0)
         )
 
     return F.aggregate(tokens, F.lit(0.0), lambda s, t: s + one(t))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def text_lines(text: Column) -> Column:
     """Lines of a text; a final line end adds none, null and empty texts have none."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n$", "")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n\\z", "")
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n", -1))
 
 

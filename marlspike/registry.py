@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .catalog import code, incremental, retrieval, telemetry  # noqa: F401 - they register themselves
+from .catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
