@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +23,39 @@ def top_k(df: DataFrame, group: str | list[str], order: list[Column], k: int, ra
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): exact cosine over a stated query set in broadcast blocks against all rows, the
-    query itself left out. The corpus is scanned once and never shuffled; only k rows a query and partition are.
+    """(query_id, id, score, rank): exact cosine of a stated query set against all rows, the query itself left out.
 
-    The query set must hold at most BROADCAST_QUERIES rows, its size is checked.
+    The query block (at most BROADCAST_QUERIES rows, checked) goes to the executors as one matrix; the corpus is scanned
+    once in Arrow batches, multiplied, cut to k rows a query and batch, and only those are shuffled. All-zero
+    vectors score 0; null vectors and ids and vectors of another length than the queries' take no part.
     """
-    if queries.count() > BROADCAST_QUERIES:
+    q = queries.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).limit(BROADCAST_QUERIES + 1).toPandas()
+    if len(q) > BROADCAST_QUERIES:
         raise ValueError("too many query vectors for one block; split them")
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
-    c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_c"))
-    scored = c.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", rounded(tokens.cosine(F.col("_q"), F.col("_c"))).alias("score"))
-    return top_k(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+    kind = corpus.schema[id_col].dataType.simpleString()
+    schema = f"query_id {kind}, id {kind}, score double"
+    if not len(q):
+        return corpus.sparkSession.createDataFrame([], f"{schema}, rank bigint")
+    ids, dim = q["id"].to_numpy(), len(q["v"].iloc[0])
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    block = unit(np.stack(q["v"].to_numpy()).astype(np.float64)).T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            name = batch["id"].to_numpy()
+            s = (unit(np.stack(batch["v"].to_numpy()).astype(np.float64)) @ block).round(6) + 0.0
+            order = np.lexsort((np.broadcast_to(name, s.T.shape), -s.T), axis=1)[:, : k + 1]
+            frame = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": name[order].reshape(-1), "score": np.take_along_axis(s.T, order, 1).reshape(-1)})
+            yield frame[frame["query_id"] != frame["id"]]
+
+    c = corpus.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return top_k(c.mapInPandas(run, schema), "query_id", [F.desc("score"), F.asc("id")], k)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, dim: int | None = None, drop_stop_words: bool = True) -> DataFrame:
