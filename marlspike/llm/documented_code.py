@@ -23,14 +23,13 @@ MIN_WORDS = 4
 
 
 class Token(NamedTuple):
-    """A comment or string: offsets, first and last line, and whether code precedes it on its first line."""
+    """A comment or string: offsets, first and last line."""
 
     kind: str
     start: int
     end: int
     first: int
     last: int
-    own_line: bool
 
 
 class Function(NamedTuple):
@@ -110,7 +109,7 @@ class Source:
             elif language == "rust" and body == "/*":
                 end = _nested_end(text, start)
             line = self.line(start)
-            self.tokens.append(Token("comment" if comment else "string", start, end, line, self.line(max(start, end - 1)), not text[self.starts[line - 1] : start].strip()))
+            self.tokens.append(Token("comment" if comment else "string", start, end, line, self.line(max(start, end - 1))))
             parts += [text[at:start], re.sub(r"[^\n]", " ", text[start:end]) if comment else "\x01" + re.sub(r"[^\n]", " ", text[start + 1 : end])]
             at = end
             m = scanner.search(text, end) if end > start else None
@@ -140,7 +139,7 @@ class Source:
         while above >= 1:
             token = self.ends_at.get(above)
             code = self.code_line(above)
-            if token is not None and not code and token.own_line:
+            if token is not None and not code:
                 break
             if self._is_mark(code):
                 above -= 1
@@ -153,7 +152,7 @@ class Source:
             return ""
         first = token
         if self.text.startswith("//", token.start):
-            while (t := self.ends_at.get(first.first - 1)) and t.own_line and self.text.startswith("//", t.start) and not self.code_line(t.first):
+            while (t := self.ends_at.get(first.first - 1)) and self.text.startswith("//", t.start) and not self.code_line(t.first):
                 first = t
         elif self.code_line(first.first):
             return ""
@@ -178,6 +177,7 @@ class Source:
 
 
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new", "else", "do", "function", "with", "throw", "case", "await", "typeof", "super", "this", "import", "assert", "yield", "delete", "void", "in", "of", "match", "loop"}
+_NOT_TYPES = {"return", "new", "else", "throw", "case", "assert", "yield", "package", "import"}
 _GO = re.compile(r"(?m)^[ \t]*func[ \t]*(?P<recv>\([^()]*\))?[ \t]*(?P<name>\w+)[ \t]*(?:\[[^\]\n]*\])?[ \t]*\(")
 _RUST = re.compile(r"(?m)^[ \t]*(?:(?:pub(?:[ \t]*\([^)]*\))?|default|const|async|unsafe|extern(?:[ \t]*\x01 *)?)[ \t]+)*fn[ \t]+(?P<name>(?:r\#)?\w+)[ \t]*(?:<[^{;(]*>)?[ \t]*\(")
 _JAVA = re.compile(
@@ -250,7 +250,7 @@ def _braced(src: Source) -> Iterator[tuple[str, bool, int, int, int]]:
                     found.append((m["name"], "self" in re.findall(r"\w+", code[m.end() : close])[:3], m.start(), at))
     elif lang == "java":
         for m in _JAVA.finditer(code):
-            if m["name"] in _NOT_NAMES or (m["type"] or "").strip() in _NOT_NAMES or "abstract" in m["mods"].split():
+            if m["name"] in _NOT_NAMES or (m["type"] or "").strip() in _NOT_TYPES or "abstract" in m["mods"].split():
                 continue
             close = src.closing(m.end() - 1)
             if close >= 0 and (t := re.compile(r"\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s<>@]+?)?\s*\{").match(code, close + 1)):
