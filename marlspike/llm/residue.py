@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BUCKETS = 1 << 18
-ROUNDS, SMOOTHING, PRIOR, THRESHOLD = 3, 0.3, 0.01, 5.0
+ROUNDS, SMOOTHING, PRIOR, THRESHOLD = 3, 0.3, 0.01, 15.0
 #: A passage of fewer tokens says too little to be scored.
 LEAST_TOKENS = 2
 #: Longest passage in characters; longer ones are scored in pieces of this length, none is left out.
