@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import chunking, extract, filters, graph, patterns
+from ..operators import chunking, extract, filters, graph, joins, patterns
 from ..session import current_rows, rounded, table
 from ..sources import files as sources
 from .base import CHUNKS, FILES, SIGNATURES, SYMBOLS, chunks, files, query, sql_tokens, symbols
@@ -75,6 +75,13 @@ def line_symbols(spark, root):
     return extract.line_symbols(files(spark, root, "language", "text"), "file_id", "language", "text")
 
 
+@query("range_join", f"SELECT c.file_id, a.symbol_id, c.symbol_id AS inner_id FROM {SYMBOLS} a JOIN {SYMBOLS} c ON a.file_id = c.file_id AND a.start_line <= c.end_line AND c.start_line <= a.end_line WHERE a.symbol_id < c.symbol_id")
+def range_join(spark, root):
+    """Symbols of a file whose lines overlap."""
+    y = symbols(spark, root, "file_id", "start_line", "end_line").where("start_line <= end_line").select("file_id", "symbol_id", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    return joins.overlapping(y, y, "file_id", 64).where("symbol_id < r_symbol_id").select("file_id", "symbol_id", F.col("r_symbol_id").alias("inner_id"))
+
+
 @query("python_symbols")
 def python_symbols(spark, root):
     return extract.python_symbols(files(spark, root, "path", "text").where("path like '%.py'"), "file_id", "text")

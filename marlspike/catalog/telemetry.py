@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, telemetry
+from ..operators import joins, metrics, telemetry
 from ..session import rounded, table
 from ..streaming import feeds
 from .base import query, spans
@@ -126,10 +125,9 @@ def usage_rollup(spark, root):
 @query("asof_previous_error", """WITH m AS (SELECT event_id, user_id, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM events WHERE user_id IS NOT NULL)
 SELECT event_id, e AS error_id FROM m WHERE e IS NOT NULL""")
 def asof_previous_error(spark, root):
-    """As-of join as one window: the last error before each event of a user, in time order (ids rise with time)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    """As-of join: the last error before each event of a user, in time order (ids rise with time)."""
     e = table(spark, root, "events").where("user_id is not null")
-    return e.select("event_id", F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).over(w).alias("error_id")).where("error_id is not null")
+    return joins.last_before(e, "user_id", "ts", "event_id", F.col("event_type") == "error").select("event_id", F.col("last").alias("error_id")).where("error_id is not null")
 
 
 @query("spans_with_nations", "SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
