@@ -48,12 +48,22 @@ TRUSTED = re.compile(
     r"|页面(?:不存在|未找到|找不到)|找不到(?:该|您|页面)|服务器(?:内部)?错误|请稍后再试|没有权限访问|ページが見つかりません|サーバーエラー|アクセスが拒否|seite (?:wurde )?nicht gefunden|angeforderte (?:datei|seite) existiert nicht|zugriff verweigert|interner serverfehler|page introuvable|erreur \d{3}|accès refusé|página no (?:encontrada|existe)|no se (?:ha )?encontr\w+ la página|acceso denegado|error interno del servidor"
     r"|\basdf\b.*\basdf\b|\bx{3,}(?: x{3,}){2,}|\bblah(?: blah){2,}|goes here\W*$|replace this (?:paragraph|text|section|block) with|edit this (?:block|text|section|page) and add|(?:dummy|sample|placeholder|filler) text\b.*\b(?:fill|here|page)|to fill the page|insert (?:text|content|description|title) here|write a short \w+ (?:to|of|for) your \w+ here|\byour (?:text|content|title|name|description) here\b"
 )
+#: Of these every alternative of TRUSTED holds at least one; a passage without any is not searched.
+STEMS = (
+    "gateway", "found", "error", "forbidden", "unavailable", "request", "unauthorized", "denied", "expired", "looking", "permission", "account", "establishing", "wrong", "minutes", "log in", "is down",
+    "browser", "undefined", "header", "object", "invalid", "script", "页面", "找不到", "服务器", "请稍后", "没有权限", "ページ", "サーバー", "アクセス", "seite", "datei", "zugriff", "serverfehler", "introuvable", "erreur",
+    "refusé", "página", "acceso", "asdf", "xxx", "blah", "here", "replace", "edit this", "text", "fill",
+)
+#: Of these every placeholder holds at least one.
+MARKS = ("{", "<<", "%%", "@@", "[", "__")
 #: Words of the usual filler text.
 FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim laborum nunc nibh erat cras donec dictum mollis purus justo ligula augue porta pulvinar massa turpis sapien felis ornare arcu vitae".split())
 
 _FENCE = re.compile(r"(?m)^[ \t]*(?:```|~~~)[^\n]*$")
 _QUOTED = re.compile(r"`[^`\n]+`|\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|「[^」\n]{1,400}」|『[^』\n]{1,400}』")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。!?])")
+_ASCII_TOKEN = re.compile(r"\x02|\x03|https?://\S+|\w+")
+_CAMEL = re.compile("[a-z][A-Z]")
 _TOKEN = re.compile(r"\x02|\x03|https?://\S+|[぀-ヿ㐀-鿿]|(?:(?![぀-ヿ㐀-鿿])\w)+")
 
 
@@ -92,11 +102,14 @@ def passages(text: str) -> list[str]:
 
 def is_trusted(passage: str) -> bool:
     """Whether a passage is a well-known message, filler, or mostly placeholders."""
-    if TRUSTED.search(passage) and "\x03" not in passage:
+    low = passage.lower()
+    if "\x03" not in passage and any(s in low for s in STEMS) and TRUSTED.search(passage):
         return True
-    words = re.findall(r"[^\W\d_]+", passage.lower())
+    words = re.findall(r"[^\W\d_]+", low)
     if len(words) >= 4 and sum(w in FILLER for w in words) >= 0.75 * len(words):
         return True
+    if not any(m in passage for m in MARKS):
+        return False
     holes = [h for h in PLACEHOLDER.findall(passage) if not h.startswith("__")]
     rest = re.findall(r"[^\W\d_]+", PLACEHOLDER.sub(" ", passage))
     return len(holes) >= 2 and len(rest) <= 8 or (len(holes) == 1 and bool(re.match(r"(?i)\W*(?:dear|hello|hi|maintained by)\b", passage)) and len(rest) <= 3)
@@ -104,7 +117,9 @@ def is_trusted(passage: str) -> bool:
 
 def tokens(passage: str) -> list[str]:
     out = []
-    for t in _TOKEN.findall(PLACEHOLDER.sub(" \x02 ", passage)):
+    if any(m in passage for m in MARKS):
+        passage = PLACEHOLDER.sub(" \x02 ", passage)
+    for t in (_ASCII_TOKEN if passage.isascii() else _TOKEN).findall(passage):
         if t == "\x02":
             out.append("<hole>")
         elif t == "\x03":
@@ -115,9 +130,9 @@ def tokens(passage: str) -> list[str]:
             out.append("<url>")
         elif any(c.isdigit() for c in t):
             out.append("<mix>")
-        elif "_" in t or re.search(r"[a-z][A-Z]", t) and t.lower() != "javascript":
+        elif "_" in t or not t.islower() and _CAMEL.search(t) and t.lower() != "javascript":
             out.append("<name>")
-        elif len(t) >= 3 and len(set(t.lower())) == 1:
+        elif len(t) >= 3 and t[0].lower() == t[1].lower() and len(set(t.lower())) == 1:
             out.append("<run>")
         else:
             out.append(t.lower())
