@@ -21,7 +21,7 @@ from ..session import cut_lineage
 
 SAMPLE, CELL_ROWS, MAX_K = 20_000, 16, 512
 #: Entries that a query meets before it stops, and cells that it looks at.
-BUDGET, MAX_CELLS = 400, 2_000
+BUDGET, MAX_CELLS = 800, 2_500
 #: Entries of one cell that are compared with a query at a time; larger cells are split into such blocks.
 BLOCK = 4_000
 
