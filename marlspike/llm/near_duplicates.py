@@ -24,8 +24,8 @@ from ..session import cut_lineage
 BANDS, ROWS = 32, 4
 #: Members of a band bucket up to which its pairs are candidates at once; larger buckets go through the prefix join.
 BUCKET_PAIRS = 256
-#: Members of a class of equal sets up to which all its pairs are listed; larger classes are listed as a star.
-CLASS_PAIRS = 64
+#: Members of a class of equal sets in one block; the pairs of larger classes are made block by block, so no task makes more than its square at once.
+PAIR_BLOCK = 512
 #: Ids up to which a set of wanted items is broadcast (about 16 MB); beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -213,28 +213,47 @@ def similar_classes(
     return members, links.where(F.col("inter") >= threshold * F.col("uni") - 1e-9)
 
 
-def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, words: int = 3, class_pairs: int = CLASS_PAIRS, **banding: int) -> DataFrame:
+def _speakers(members: DataFrame, items: DataFrame, id_col: str, text_col: str, copies: int) -> tuple[DataFrame, DataFrame]:
+    """(members without the copies of a text beyond its least id, star: least id, copy) where a text has more than ``copies`` copies."""
+    texts = items.select(F.col(id_col).alias("item"), F.sha2(F.col(text_col), 256).alias("_t")).dropDuplicates(["item"])
+    told = members.where(F.col("n_members") > copies).join(texts, "item")
+    least = told.groupBy("rep", "_t").agg(F.min("item").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    star = told.join(least.where(F.col("_n") > copies), ["rep", "_t"]).where("item <> _least").select(F.col("_least").alias("id_a"), F.col("item").alias("id_b"), F.lit(1.0).alias("similarity"))
+    star = cut_lineage(star)
+    return members.join(star.select(F.col("id_b").alias("item")), "item", "left_anti"), star
+
+
+def near_duplicate_pairs(items: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, words: int = 3, class_pairs: int | None = None, pair_block: int = PAIR_BLOCK, **banding: int) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, of items whose shingle sets have at least the given similarity.
 
-    Items with a null id, or with null, empty or too short texts (no shingle), are in no pair. Repeated rows count once. Classes of equal
-    sets of up to ``class_pairs`` members are expanded to all pairs; of a larger class every member is paired with the
-    least id of the class, which also stands for it in links to other classes. No link between different texts is lost.
+    Items with a null id, or with null, empty or too short texts (no shingle), are in no pair. Repeated rows count once. All
+    pairs are listed, whatever the size of a class of equal sets; classes of more than ``pair_block`` members are paired block
+    by block. Only where ``class_pairs`` is given, the copies of one exact text beyond that number are listed as a star around
+    their least id, which then stands for them in all other pairs; no pair of different texts' least ids is lost by that.
     Other columns are not read.
     """
     members, links = similar_classes(items, id_col, text_col, threshold, words, **banding)
-    small = F.col("n_members") <= class_pairs
-    m = members.where("n_members > 1")
-    x, y = m.where(small).alias("x"), m.where(small).alias("y")
-    within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("id_a"), F.col("y.item").alias("id_b"), F.lit(1.0).alias("similarity"))
-    star = m.where(~small & (F.col("item") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("item").alias("id_b"), F.lit(1.0).alias("similarity"))
-    speakers = members.where(small | (F.col("item") == F.col("rep"))).select("item", "rep")
+    speakers, star = (members, None) if class_pairs is None else _speakers(members, items, id_col, text_col, class_pairs)
+    blocks = F.ceil(F.col("n_members") / pair_block).cast("int")
+    placed = speakers.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    spread = placed.where("n_members > 1").select("item", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("item", "rep", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    x, y = spread.alias("x"), spread.alias("y")
+    met = (F.col("x.rep") == F.col("y.rep")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    once = (F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block"))
+    within = x.join(y, met & once & (F.col("x.item") < F.col("y.item"))).select(F.col("x.item").alias("id_a"), F.col("y.item").alias("id_b"), F.lit(1.0).alias("similarity"))
+    wide = members.where((F.col("item") == F.col("rep")) & (F.col("n_members") > pair_block)).select("rep", blocks.alias("blocks"))
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks_{side}", F.lit(1)) - 1))
     across = (
         links.select("rep_a", "rep_b", (F.col("inter") / F.col("uni")).alias("similarity"))
-        .join(speakers.select(F.col("rep").alias("rep_a"), F.col("item").alias("p")), "rep_a")
-        .join(speakers.select(F.col("rep").alias("rep_b"), F.col("item").alias("q")), "rep_b")
+        .join(wide.select(F.col("rep").alias("rep_a"), F.col("blocks").alias("blocks_a")), "rep_a", "left")
+        .join(wide.select(F.col("rep").alias("rep_b"), F.col("blocks").alias("blocks_b")), "rep_b", "left")
+        .withColumn("block_a", every("a")).withColumn("block_b", every("b"))
+        .join(placed.select(F.col("rep").alias("rep_a"), F.col("block").alias("block_a"), F.col("item").alias("p")), ["rep_a", "block_a"])
+        .join(placed.select(F.col("rep").alias("rep_b"), F.col("block").alias("block_b"), F.col("item").alias("q")), ["rep_b", "block_b"])
         .select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"), "similarity")
     )
-    return within.unionByName(star).unionByName(across)
+    pairs = within.unionByName(across)
+    return pairs if star is None else pairs.unionByName(star)
 
 
 def near_duplicate_classes(items: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, words: int = 3, **banding: int) -> DataFrame:

@@ -52,6 +52,20 @@ def test_near_duplicates_large_class_is_a_star(spark):
     assert near_duplicates.near_duplicate_pairs(df.limit(0), "id", "t").count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_near_duplicates_of_a_hot_class(spark, block):
+    base = text(60)
+    other = " ".join(["changed", *base.split()[1:]])
+    rows = [(i, base.replace(" ", " " * (1 + i % 3)) + "." * (i % 5)) for i in range(70)] + [(i, other) for i in range(70, 73)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    got = [(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "id", "t", pair_block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == similar_pairs(rows) and len(got) == 73 * 72 // 2
+    starred = {(r.id_a, r.id_b) for r in near_duplicates.near_duplicate_pairs(df, "id", "t", class_pairs=4, pair_block=block).collect()}
+    texts = dict(rows)
+    least = {t: min(i for i, u in rows if u == t) for t in texts.values()}
+    assert {(a, b) for a, b in similar_pairs(rows) if a == least[texts[a]] and b == least[texts[b]]} <= starred < set(got)
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(-(2**62), 2**62, 60)
