@@ -217,6 +217,38 @@ def _type_end(src: Source, at: int, stops: tuple[str, ...]) -> tuple[int, str]:
     return -1, ""
 
 
+def _body_go(src: Source, at: int) -> int:
+    """Offset of the body behind a parameter list that ends before ``at``, -1 without one; a result type may hold ``interface{}`` or ``struct{}``."""
+    code = src.code
+    while at < len(code) and code[at] != "\n":
+        if code[at] == "{" and not re.search(r"\b(?:interface|struct)[ \t]*$", code[max(0, at - 20) : at]):
+            return at
+        if code[at] in "([{":
+            at = src.closing(at)
+            if at < 0:
+                return -1
+        at += 1
+    return -1
+
+
+def _body_rust(src: Source, at: int) -> int:
+    """As ``_body_go``; a brace belongs to the type or the where clause only within ``<>`` (``Rows<{ N }>``)."""
+    code, depth = src.code, 0
+    while at < len(code) and code[at] != ";":
+        if code[at] == "{" and depth <= 0:
+            return at
+        if code[at] in "([{":
+            at = src.closing(at)
+            if at < 0:
+                return -1
+        elif code[at] == "<":
+            depth += 1
+        elif code[at] == ">" and code[at - 1] not in "-=":
+            depth -= 1
+        at += 1
+    return -1
+
+
 def _body_js(src: Source, close: int, arrow: bool) -> int:
     """Offset of the body behind a parameter list that closes at ``close``, -1 without one."""
     at = _skip_space(src.code, close + 1)
@@ -238,15 +270,15 @@ def _braced(src: Source) -> Iterator[tuple[str, bool, int, int, int]]:
         for m in _GO.finditer(code):
             close = src.closing(m.end() - 1)
             if close >= 0:
-                at, stop = _type_end(src, close + 1, ("{", "\n"))
-                if stop == "{":
+                at = _body_go(src, close + 1)
+                if at >= 0:
                     found.append((m["name"], bool(m["recv"]), m.start(), at))
     elif lang == "rust":
         for m in _RUST.finditer(code):
             close = src.closing(m.end() - 1)
             if close >= 0:
-                at, stop = _type_end(src, close + 1, ("{", ";"))
-                if stop == "{":
+                at = _body_rust(src, close + 1)
+                if at >= 0:
                     found.append((m["name"], "self" in re.findall(r"\w+", code[m.end() : close])[:3], m.start(), at))
     elif lang == "java":
         for m in _JAVA.finditer(code):

@@ -189,6 +189,13 @@ def test_functions_and_documentation():
     assert [(f.name, f.start_line) for f in documented_code.functions(rust, "rust")] == [("a", 3)]
 
 
+def test_functions_without_result_type():
+    go = "// Drops all rows of the page.\nfunc drop() {\n\tx := 1\n}\n// Drops what is left of it.\nfunc (p *Page) rest(n int) { }\n// Gives any row that is left.\nfunc any() interface{} {\n\treturn nil\n}\nfunc asm()\nfunc both() (map[string]struct{}, error) {\n}\n"
+    assert [(f.name, f.start_line, f.end_line, f.signature) for f in documented_code.functions(go, "go")] == [("drop", 2, 4, "func drop()"), ("rest", 6, 6, "func (p *Page) rest(n int)"), ("any", 8, 10, "func any() interface{}"), ("both", 12, 13, "func both() (map[string]struct{}, error)")]
+    rust = "/// Drops all rows of the page.\nfn a() {\n  b();\n}\nfn no();\npub fn b<T>(&self, t: T)\nwhere\n    T: Fn(u8) -> u8,\n{\n}\nfn c() -> Rows<{ N + 1 }> {\n}\nfn last() {}\n"
+    assert [(f.name, f.start_line, f.end_line, f.signature) for f in documented_code.functions(rust, "rust")] == [("a", 2, 4, "fn a()"), ("b", 6, 10, "pub fn b<T>(&self, t: T) where T: Fn(u8) -> u8,"), ("c", 11, 12, "fn c() -> Rows<{ N + 1 }>"), ("last", 13, 13, "fn last()")]
+
+
 @pytest.mark.parametrize(("doc", "name", "trivial"), [
     (None, "f", True), ("", "f", True), ("// TODO: say what rows are kept here", "f", True), ("eslint-disable-next-line a b c d", "f", True),
     ("Opens the big file.", "open_big_file", True), ("@param rows all the rows there are", "f", True), ("Reads four rows at once.", "f", False),
