@@ -373,16 +373,27 @@ def functions(text: str, language: str) -> list[Function]:
 
 _MARKS = re.compile(r"(?m)^[ \t]*(?:/\*+!?|\*+/|//+!?|\#+!?|\*+(?!/))|\*+/[ \t]*$")
 _TAGS = re.compile(r"(?m)^[ \t]*(?:[@\\:](?:param|params|parameter|arg|args|argument|return|returns|throws|throw|raises|raise|exception|type|rtype|see|since|author|version|deprecated|template|typeparam|property|prop|yields|example|todo|private|public|internal|override|async|module|name|function|method|class|memberof|static)\b|@\w+|:\w+(?:[ \t]+[\w\[\], .*]+)?:(?=\s|$)).*$")
+#: Where a prompt or note is over: at the end, before an empty line or before tags.
+_OVER = r"[^\w\n]*(?:\Z|\n[^\w\n]*\n|\n[^\w\n]*[@:\\]\w)"
+_DOC = r"(?:description|documentation|docs?|docstring|summary|comment)"
+_SELF = r"(?:this|the) (?:function|method)\b"
 #: How documentation begins, after comment marks, that is a note to do, a directive to a tool, a stub
-#: left by a generator or a prompt that was never filled in.
+#: left by a generator or a prompt that was never filled in. Directives are told by their syntax, prompts by speaking of
+#: the function or its documentation, or of a text to put "here", so that sentences that begin alike are kept.
 _TRIVIAL = re.compile(
     r"(?i)\A\W*(?:"
     r"to-?do\b|fixme\b|xxx\b|hack\b|tbd\b|wip\b"
-    r"|no ?lint\b|noqa\b|eslint\b|eslint-|tslint:|jshint\b|jslint\b|prettier-|pylint:|pragma\b|type:\s*ignore|mypy:|flake8[:\-]|ruff:|isort:|fmt:|yapf:|black:|pyright:|nosec\b|nosonar|checkstyle|suppress|spellchecker:|cspell:|istanbul\b|c8 ignore|v8 ignore|@?ts-(?:ignore|nocheck|expect-error)|rustfmt|clippy:|allow\(|go:\w+|\+build|noinspection|biome-|deno-|stylelint-|sonar|coverage:|codecov|lint:|region\b|endregion\b"
-    r"|auto-?generated|generated\b|code generated|this (?:method|function|file|comment|stub|code) (?:was|is|has been) (?:auto|automatically|generated|created)|created by|non-javadoc|\(non-javadoc|inheritdoc|\{@inheritdoc"
-    r"|(?:please )?(?:add|insert|write|enter|put|fill in|provide|describe|document|replace|explain)\b[^.\n]*\b(?:description|documentation|docs?|docstring|summary|comment|text|(?:function|method|this|it)(?: and its \w+)?(?: does)?)\b[^.\n]*(?:\bhere\b|\bhere\W*$|\W*$)"
-    r"|(?:a |the )?(?:short |brief |one-line )?(?:description|summary|documentation|docstring|docs?)\b[^.\n]*\b(?:goes? here|to come|pending|missing|tbd|needed|here)\b|missing doc|undocumented\b|placeholder\b|your (?:description|summary|documentation|text|docs?)\b"
-    r"|this (?:function|method) does what (?:its|the) name|does what (?:it|the name) says|self[- ]explanatory|see (?:the )?(?:name|code|signature|above)\W*$"
+    rf"|nolint\b|no lint(?:\s*:|{_OVER})|noqa\b|eslint(?:-\w|\s+[\w/@-]+\s*:|\s*:|{_OVER})|tslint:|jshint(?:\s+\w+\s*:|\s*:|{_OVER})|jslint(?:\s+\w+\s*:|\s*:|{_OVER})|prettier-ignore|pylint:|pragma(?:\s*:|\s+(?:no|once|warning|mark)\b|{_OVER})|type:\s*ignore|mypy:|flake8[:\-]|ruff:|isort:|fmt:|yapf:|black:|pyright:"
+    rf"|nosec\b|nosonar|checkstyle(?:\s*:|[ .-](?:off|on|stop|resume|disable|enable|ignore)\b|{_OVER})|suppress(?:-?warnings)?\s*[:(]|suppress-?warnings\b|suppress checkstyle\b|suppress{_OVER}|spellchecker:|cspell:|istanbul ignore|c8 ignore|v8 ignore|@?ts-(?:ignore|nocheck|expect-error)|rustfmt(?:\s*:|-|_)|clippy:|allow\("
+    rf"|go:\w+|\+build|noinspection|biome-ignore|deno-(?:lint|fmt|coverage|ts)|stylelint-(?:disable|enable|ignore)|sonar\s*[-:.]|coverage:|codecov(?:\s*:|-|\s+ignore)|lint:|(?<=\#)(?:end)?region\b|(?-i:(?:end)?region)\b(?:[ \t]+\w+){{0,3}}\Z"
+    rf"|auto[- ]?generated(?:\s+(?:method|function|constructor|class|getter|setter|catch block))*(?:\s+(?:stub|code|file|{_DOC}|javadoc|by)\b|\s*[^\w\s]|{_OVER})|code generated by\b|generated\b[^.\n]*\bdo not (?:edit|modify)"
+    rf"|generated (?:by|from|with|using)\b[^.\n]{{0,60}}\b(?:tool|generator|scaffold|plugin|codegen|compiler|protoc|openapi|swagger|template|ide)\b|generated (?:(?:method|function) )?(?:stub|code|file){_OVER}|generated(?: signedsource\b|{_OVER})"
+    rf"|this (?:method|function|file|comment|stub|code) (?:was|is|has been) (?:auto-?generated|automatically (?:generated|created)|generated (?:by|from|with)|created by)\b|created (?:by|with) (?:intellij|eclipse|netbeans|jetbrains|pycharm|visual studio|xcode)|created by [\w. @-]{{1,40}}\bon \d|non-javadoc|inheritdoc"
+    rf"|(?:please )?(?:add|insert|write|enter|put|fill in|provide|describe|document|replace|explain)\b(?:[^.\n]*\b(?:{_DOC}|text|function|method|this|it)\b[^.\n]*\bhere(?:\s*[.!]|{_OVER})|[^.\n]*\b{_DOC} (?:of|for|to|about|on) (?:what )?(?:this (?:function|method)\b|{_SELF}(?: and its \w+)?(?: does)?{_OVER}|it(?: does)?{_OVER})"
+    rf"|(?: (?:a|an|the|some|its|your|this|real|proper|short|brief|one-line|meaningful|useful|missing))* {_DOC}{_OVER}|(?: what| how| why| when)? (?:this (?:function|method)\b|(?:{_SELF}|this|it)(?: and its \w+)?(?: (?:does|works|is for|returns))?{_OVER})| this (?:{_DOC}|text|stub)\b)"
+    rf"|(?:a |the )?(?:short |brief |one-line )?{_DOC}\b(?:[^.\n]*\bgoes? here\b|[^.\n]*\bhere{_OVER}|(?: (?:of|for) {_SELF})?(?: is| are| still)* (?:to come|pending|missing|tbd|needed){_OVER})|missing {_DOC}(?: (?:of|for) {_SELF})?{_OVER}|undocumented(?: function| method)?{_OVER}"
+    rf"|placeholder(?: (?:{_DOC}|text|stub|implementation|function|method))?{_OVER}|placeholder for (?:(?:the|a|an|real|actual|future|missing) )*(?:{_DOC}|implementation)\b|your (?:{_DOC}|text)(?:\b[^.\n]*\bhere\b|{_OVER})"
+    r"|this (?:function|method) does what (?:its|the) name|does what (?:it|the) name says|self[- ]explanatory|see (?:the )?(?:name|code|signature|above)\W*$"
     r"|<[^>]*(?:description|summary|doc)[^>]*>\W*$|\[[^\]]*(?:description|summary|doc)[^\]]*\]\W*$|\{[^}]*(?:description|summary|doc)[^}]*\}\W*$"
     r")"
 )

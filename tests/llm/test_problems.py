@@ -205,6 +205,24 @@ def test_trivial_documentation(doc, name, trivial):
     assert documented_code.is_trivial(doc, name) is trivial
 
 
+@pytest.mark.parametrize("doc", [
+    "Replace the text between two markers with another value.", "Write the summary of every finished run to the report file.", "Add a comment to the open issue on behalf of the caller", "Describe the function table as a list of rows.",
+    "Put every comment\non its own line of the page.", "Suppresses duplicate events of one key.", "Suppress warnings of the parser until the next run.", "Generated ids are kept in the table.", "Created by the factory once a session.", "Region names are mapped to their hosts.",
+    "Placeholder values are filled from the row.", "Missing documents are fetched anew.", "Summary of pending jobs of each queue.", "Undocumented endpoints are left out of the list.", "Pragma settings are applied before the first row.", "Checkstyle rules are read from two files.", "This method is automatically called after each row.",
+])
+def test_sentences_that_begin_like_prompts(doc):
+    assert not documented_code.is_trivial(doc, "f")
+
+
+@pytest.mark.parametrize("doc", [
+    "Add a short summary of the function and its arguments here.", "Please add documentation for this function.", "Describe what this method does.", "Explain what the function does", "Write the docs of this function and its arguments.", "Insert a short description here.\n@param a the first of all rows", "Please fill in the documentation.",
+    "Replace this text with a real description.", "Description of what f does goes here.", "Generated by the scaffold tool. Please fill in the documentation.", "Code generated by protoc-gen-go. DO NOT EDIT.", "Created by jo on 12.03.2019 with some editor", "// #region Helpers of the page table", "//region helpers of pages", "suppress(all of the warnings here)", "CHECKSTYLE:OFF: line length and method count",
+    "Placeholder for the real description of it", "eslint no-undef: 0, no-shadow: 0, a: 1",
+])
+def test_prompts_and_directives(doc):
+    assert documented_code.is_trivial(doc, "f")
+
+
 def test_documented_functions_table(spark):
     files = spark.createDataFrame([(1, "a.py", None, PYTHON), (2, "b.java", "java", None), (3, "c.txt", None, "def f(): pass"), (4, "d.py", "python", ""), (None, "e.py", "python", PYTHON), (5, None, None, None)], "file_id bigint, path string, language string, text string").withColumn("kind", F.lit("x"))
     symbols = spark.createDataFrame([(2, "f", "Method ", 7, 9, "void f() {", "Says which rows are lost."), (2, "g", "class", 1, 9, "class g {", "Says which rows are lost."), (2, "h", None, 20, 21, "void h() {", "todo"), (1, "i", "function", 3, 4, "def i():", "Says which rows are lost."), (2, None, None, None, None, None, None)], "file_id bigint, name string, kind string, start_line int, end_line int, signature string, docstring string")
