@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import pandas as pd
@@ -161,19 +162,35 @@ class Source:
     def _is_mark(self, code: str) -> bool:
         return bool(re.fullmatch(r"(?:@[\w.]+(?:\s*\(.*\))?\s*)+|(?:#!?\[.*\]\s*)+", code)) and code.count("(") == code.count(")") and code.count("[") == code.count("]")
 
+    @cached_property
+    def openings(self) -> dict[int, int]:
+        """Offset of the opening bracket of each closing one; closing brackets that fit none are left out."""
+        out, open_at = {}, []
+        for m in re.finditer(r"[()\[\]{}]", self.code):
+            if m[0] in "([{":
+                open_at.append(m.start())
+                continue
+            kind = "([{"[")]}".index(m[0])]
+            depth = next((d for d in range(len(open_at) - 1, -1, -1) if self.code[open_at[d]] == kind), -1)
+            if depth >= 0:
+                out[m.start()] = open_at[depth]
+                del open_at[depth:]
+        return out
+
     def _mark_start(self, last: int) -> int:
-        """First line of an annotation or attribute of several lines that ends at line ``last``; 0 if there is none."""
-        if not self.code_line(last).endswith((")", "]")):
-            return 0
-        for line in range(last - 1, max(0, last - 40), -1):
-            code = self.code_line(line)
-            if re.match(r"@[\w.]+\s*\(|#!?\[", code):
-                opened = self.code.index("(" if code[0] == "@" else "[", self.starts[line - 1])
-                closed = self.closing(opened)
-                return line if closed >= 0 and self.line(closed) == last else 0
-            if not code or code.endswith((";", "{", "}")):
+        """First line of the annotations or attributes, the first of several lines, that end at line ``last``; 0 if there are none."""
+        end = self.starts[last - 1] + len(self.code[self.starts[last - 1] : self.starts[last] if last < len(self.starts) else len(self.code)].rstrip())
+        while True:
+            opened = self.openings.get(end - 1, end)
+            begin = self.starts[self.line(min(opened, end - 1)) - 1]
+            name = r"#!?$" if self.code.startswith("[", opened) and opened < end else r"@[\w.$]+(?:<[^<>()]*>)?[ \t]*$" if self.code.startswith("(", opened) or opened == end else r"(?!)"
+            m = re.search(name, self.code[begin:opened])
+            if not m:
                 return 0
-        return 0
+            before = self.code[begin : begin + m.start()].rstrip()
+            if not before.strip():
+                return self.line(begin)
+            end = begin + len(before)
 
 
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new", "else", "do", "function", "with", "throw", "case", "await", "typeof", "super", "this", "import", "assert", "yield", "delete", "void", "in", "of", "match", "loop"}

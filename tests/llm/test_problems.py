@@ -189,6 +189,21 @@ def test_functions_and_documentation():
     assert [(f.name, f.start_line) for f in documented_code.functions(rust, "rust")] == [("a", 3)]
 
 
+def test_documentation_above_long_annotations():
+    nested = "@ApiResponses(value = {\n  @ApiResponse(code = 1,\n    text = \"){\"),\n\n  @ApiResponse(code = 2)\n})"
+    long = "@A({\n" + "".join(f"  @B({i}),\n" for i in range(60)) + "}) @Override"
+    for mark in (nested, long, "@A @C(\n  x = 1) @D(2)", nested + "\n@Override\n" + long):
+        java = f"class A {{\n/** Keeps the last four rows. */\n{mark}\nvoid f() {{ }}\n}}\n"
+        assert [f.documentation for f in documented_code.functions(java, "java")] == ["/** Keeps the last four rows. */"], mark
+    for other in ("call({\n  @A(1)\n})", "int x = call(\n  1)", "]", ")"):
+        java = f"class A {{\n/** Keeps the last four rows. */\n{other}\nvoid f() {{ }}\n}}\n"
+        assert not any(f.documentation for f in documented_code.functions(java, "java")), other
+    ts = "class A {\n  /** Keeps the last four rows. */\n  @Input({\n    a: { b: [1, 2] },\n    c() { return 1; },\n  })\n  go(x: string) { }\n}\n"
+    assert {f.name: f.documentation for f in documented_code.functions(ts, "typescript")}["go"]
+    rust = "/// Keeps the last four rows.\n#[cfg(any(\n  a,\n\n  b\n))]\nfn f() {}\n"
+    assert documented_code.functions(rust, "rust")[0].documentation
+
+
 def test_functions_without_result_type():
     go = "// Drops all rows of the page.\nfunc drop() {\n\tx := 1\n}\n// Drops what is left of it.\nfunc (p *Page) rest(n int) { }\n// Gives any row that is left.\nfunc any() interface{} {\n\treturn nil\n}\nfunc asm()\nfunc both() (map[string]struct{}, error) {\n}\n"
     assert [(f.name, f.start_line, f.end_line, f.signature) for f in documented_code.functions(go, "go")] == [("drop", 2, 4, "func drop()"), ("rest", 6, 6, "func (p *Page) rest(n int)"), ("any", 8, 10, "func any() interface{}"), ("both", 12, 13, "func both() (map[string]struct{}, error)")]
