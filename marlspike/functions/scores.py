@@ -39,13 +39,13 @@ def sigmoid_z(score: Column, mean: Column, deviation: Column) -> Column:
 
 def lexical_fields(symbol: Column, path: Column, code: Column) -> list[Column]:
     """What ``lexical_score`` reads, lower-cased once: select it before a join, so it is not made anew for each token."""
-    sym, where, text = (F.lower(F.coalesce(c, F.lit(""))) for c in (symbol, path, F.substring(code, 1, 2000)))
+    sym, where, text = (F.lower(F.coalesce(c, F.lit(""))) for c in (symbol, path, code))
     return [sym.alias("_symbol"), F.regexp_replace(where, r"[/\\]", "\n").alias("_segments"), F.regexp_extract(where, r"([^/\\]*)$", 1).alias("_last"), text.alias("_code")]
 
 
 def lexical_score(tokens: Column) -> Column:
     """Hits of query tokens in ``lexical_fields``: 2.0 in the symbol, 0.8 in a path segment and 0.3 more in the last, 1.0 in the
-    first 2,000 characters."""
+    code, all of it."""
 
     def one(t: Column) -> Column:
         return (

@@ -203,3 +203,13 @@ def test_core_does_not_import_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"^\s*(?:from|import)\s.*\bllm\b", p.read_text(), re.M), p
+
+
+def test_lexical_score_reads_the_whole_code(spark):
+    from pyspark.sql import functions as F
+
+    from marlspike.functions import scores
+
+    df = spark.createDataFrame([(1, "x " * 1500 + "Needle"), (2, "x"), (3, None)], "id int, code string")
+    fields = df.select("id", *scores.lexical_fields(F.lit(None).cast("string"), F.lit("a/b.py"), F.col("code")))
+    assert {r.id: r.s for r in fields.select("id", scores.lexical_score(F.array(F.lit("needle"))).alias("s")).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
