@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import current_rows, current_rows_where, table
+from ..session import current_rows, current_rows_where, cut_lineage, table
 from . import clustering, documented_code, leakage, near_duplicates, nearest_vectors, residue, splitting, tokenizing
 
 
@@ -54,24 +54,31 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, root, "documents"))
 
 
-def _clusters(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def _clusters(spark: SparkSession, root: str) -> clustering.Clusters:
     rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["centroid"])
-    return clustering.similarity_clusters(rows, "pattern_id", "centroid", 64)
+    return clustering.Clusters(rows, "pattern_id", "centroid", 64)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    members, _ = _clusters(spark, root)
-    return members.select(F.col("cluster").alias("cluster_id"), F.col("id").alias("pattern_id"))
+    return _clusters(spark, root).members().select(F.col("cluster").alias("cluster_id"), F.col("id").alias("pattern_id"))
+
+
+def _with_members(spark: SparkSession, root: str, shape: DataFrame, by: list[str]) -> DataFrame:
+    """``shape`` with its typical members' exemplars, cluster_size and coherence_score."""
+    rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["exemplars", "cluster_size", "coherence_score"])
+    typical = shape.select(*by, F.posexplode("typical").alias("rank", "pattern_id")).join(rows, "pattern_id")
+    listed = typical.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "cluster_size", "coherence_score", "exemplars"))).alias("members"))
+    return shape.drop("typical").join(listed, by).withColumnsRenamed({"cluster": "cluster_id", "community": "community_id"})
 
 
 def p2_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Each cluster with its size and its most typical members, these with their exemplars, cluster_size and coherence_score."""
-    members, links = _clusters(spark, root)
-    shape = clustering.describe_clusters(members, links)
-    rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["exemplars", "cluster_size", "coherence_score"])
-    typical = shape.select("cluster", F.posexplode("typical").alias("rank", "pattern_id")).join(rows, "pattern_id")
-    listed = typical.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "pattern_id", "cluster_size", "coherence_score", "exemplars"))).alias("members"))
-    return shape.drop("typical").join(listed, "cluster").withColumnRenamed("cluster", "cluster_id")
+    return _with_members(spark, root, cut_lineage(_clusters(spark, root).clusters()), ["cluster"])
+
+
+def p2_communities(spark: SparkSession, root: str) -> DataFrame:
+    """Each community of each cluster with its size, coherence and members of the highest internal weighted degree."""
+    return _with_members(spark, root, cut_lineage(_clusters(spark, root).communities()), ["cluster", "community"])
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
+    "p2_communities": p2_communities,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,

@@ -103,26 +103,76 @@ def test_nearest_vectors_like_brute_force(spark):
     assert nearest_vectors.nearest_vectors(df.limit(0), "id", "vec", 8, 0.3).count() == 0
 
 
-def test_clusters_like_components(spark):
-    rows = unit_rows()
-    chain = [(f"z{i}", [float(np.cos(i * 0.7)), float(np.sin(i * 0.7))] + [0.0] * 5 + [0.001]) for i in range(5)]
-    rows += chain
-    df = spark.createDataFrame([*rows, *odd_vectors(), rows[7]], "id string, vec array<double>").withColumn("cluster", F.lit(1))
-    members, links = clustering.similarity_clusters(df, "id", "vec", 8)
-    got = {(r.cluster, r.id) for r in members.collect()}
+def components(rows, threshold=0.7, least=3):
     ids, x = [r[0] for r in rows], np.array([r[1] for r in rows])
     x = x / np.linalg.norm(x, axis=1)[:, None]
     name = list(range(len(ids)))
-    for a, b in zip(*np.nonzero(x @ x.T >= 0.7), strict=True):
+    for a, b in zip(*np.nonzero(x @ x.T >= threshold - 1e-12), strict=True):
         lo, hi = sorted((name[a], name[b]))
         name = [lo if n == hi else n for n in name]
     groups = {}
     for i, n in enumerate(name):
         groups.setdefault(n, []).append(ids[i])
-    assert got == {(min(g), i) for g in groups.values() if len(g) >= 3 for i in g}
-    shapes = clustering.describe_clusters(members, links).collect()
+    return {(min(g), i) for g in groups.values() if len(g) >= least for i in g}
+
+
+def test_clusters_like_components(spark):
+    rows = unit_rows()
+    rows += [(f"z{i}", [float(np.cos(i * 0.7)), float(np.sin(i * 0.7))] + [0.0] * 5 + [0.001]) for i in range(5)]
+    df = spark.createDataFrame([*rows, *odd_vectors(), rows[7]], "id string, vec array<double>").withColumn("cluster", F.lit(1)).withColumn("node", F.lit(1))
+    found = clustering.Clusters(df, "id", "vec", 8)
+    got = [(r.cluster, r.id) for r in found.members().collect()]
+    assert len(got) == len(set(got)) and set(got) == components(rows)
+    shapes = found.clusters().collect()
     assert sum(r["size"] for r in shapes) == len(got) and all(len(r.typical) == 3 for r in shapes)
-    assert clustering.similarity_clusters(df.limit(0), "id", "vec", 8)[0].count() == 0
+    parts = found.communities().collect()
+    assert sum(r["size"] for r in parts) == len(got) and {r.cluster for r in parts} == {c for c, _ in got}
+    split = clustering.Clusters(df, "id", "vec", 8, part_nodes=20)
+    assert {(r.cluster, r.id) for r in split.members().collect()} == components(rows)
+    empty = clustering.Clusters(df.limit(0), "id", "vec", 8)
+    assert empty.members().count() == 0 and empty.communities().count() == 0
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-4])
+def test_clusters_of_many_copies(spark, noise):
+    rng = np.random.default_rng(8)
+    a, b = np.eye(8)[0], 0.8 * np.eye(8)[0] + 0.6 * np.eye(8)[1]
+    rows = [(f"{n}{i:02d}", [float(v) for v in (1 + i) * (x + noise * rng.normal(size=8))]) for n, x in (("a", a), ("b", b)) for i in range(20)]
+    rows += [(f"c{i:02d}", [0.0] * 7 + [float(i + 1)]) for i in range(50)]
+    got = {(r.cluster, r.id) for r in clustering.Clusters(spark.createDataFrame(rows, "id string, vec array<double>"), "id", "vec", 8).members().collect()}
+    assert got == {("a00", i) for i, _ in rows[:40]} | {("c00", i) for i, _ in rows[40:]} == components(rows)
+
+
+def test_clusters_with_every_centroid_fifty_times(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([centres, centres[:20] + 0.45 * rng.normal(size=(20, 16))])
+    rows = [(f"{i:02d}-{j:02d}", [float(v) for v in r * (1 + j) + 1e-5 * rng.normal(size=16)]) for i, r in enumerate(x) for j in range(50)]
+    got = {(r.cluster, r.id) for r in clustering.Clusters(spark.createDataFrame(rows, "id string, vec array<double>"), "id", "vec", 16).members().collect()}
+    assert got == components(rows)
+
+
+def test_communities_raise_modularity():
+    rng = np.random.default_rng(6)
+    group = np.repeat(np.arange(6), 20)
+    u, v = np.triu_indices(120, 1)
+    ok = rng.random(len(u)) < np.where(group[u] == group[v], 0.5, 0.02)
+    u, v, w = u[ok], v[ok], np.ones(int(ok.sum()))
+    degree = np.bincount(np.r_[u, v], minlength=120).astype(float)
+    own = clustering.local_communities(u, v, w, dict(enumerate(degree.tolist())), 2.0 * len(u))
+    assert len({(own[i], group[i]) for i in range(120)}) == 6 == len(set(own.values()))
+
+
+@pytest.mark.parametrize("part", [500_000, 3])
+def test_merge_linked(spark, part):
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(0, 40) if i % 7] + [(rng.randrange(50, 90), rng.randrange(50, 90)) for _ in range(15)]
+    name = {x: x for p in pairs for x in p}
+    for _ in range(100):
+        for a, b in pairs:
+            name[a] = name[b] = min(name[a], name[b])
+    got = {r.c: r.l for r in clustering.merge_linked(spark.createDataFrame(pairs, "a bigint, b bigint"), part).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in name.items() if k != v}
 
 
 def test_sparse_table_and_pieces():
