@@ -343,9 +343,24 @@ def test_residue(spark):
     plain = ["The {0} now reads the {1} first.", "We moved {0} out of the {1}.", "If {0} returns nothing, check the {1}.", "Fixes a slow {0} in the {1} path."]
     nouns = ["queue", "table", "parser", "index", "router", "cache"]
     rows = [(i, " ".join(rng.choice(plain).format(rng.choice(nouns), rng.choice(nouns)) for _ in range(5))) for i in range(300)]
-    bad = {1000: "Page not found", 1001: rows[0][1] + "\nDear {{ first_name }},", 1002: "Error establishing a connection to the cache database", 1003: "Lorem ipsum dolor sit amet consectetur.", 1004: "Please enable JavaScript to view this page.", 1005: "{{ name }} is a ${KIND} for <<TARGET>>. Maintained by %%OWNER%%."}
-    good = {2000: 'The handler says "Page not found" for every lost row.', 2001: "```\nDear {{ first_name }},\n```\nThis is how the table looks.", 2002: "> You need to enable JavaScript to run this app.", 2003: "Set `${CACHE_HOME}` before you run the queue.", 2004: None, 2005: "", 2006: "  \n", 2007: "[x] read the table, [ ] fix the cache"}
+    bad = {1000: "Page not found", 1001: rows[0][1] + "\nDear {{ first_name }},", 1002: "Error establishing a connection to the cache database", 1003: "Lorem ipsum dolor sit amet consectetur.", 1004: "Please enable JavaScript to view this page.", 1005: "{{ name }} is a ${KIND} for <<TARGET>>. Maintained by %%OWNER%%.", 1006: "{{title}}", 1007: "xxxxx xxxx xxxxxx xxx", 1008: "${" + "a" * 200 + "}", 1009: "404 Not Found\nThe page went away."}
+    good = {2000: 'The handler says "Page not found" for every lost row.', 2001: "```\nDear {{ first_name }},\n```\nThis is how the table looks.", 2002: "> You need to enable JavaScript to run this app.", 2003: "Set `${CACHE_HOME}` before you run the queue.", 2004: None, 2005: "", 2006: "  \n", 2007: "[x] read the table, [ ] fix the cache", 2008: "## 1.2.3", 2009: "word " * 20_000, 2010: "{{ half", 2011: '"{{title}}"'}
     df = spark.createDataFrame([*rows, *bad.items(), *good.items(), (None, "Page not found"), (1000, "Page not found")], "doc_id bigint, text string").withColumn("trusted", F.lit(True))
     assert {r.doc_id for r in residue.residue_records(df).collect()} == set(bad)
     assert residue.residue_records(df.limit(0)).count() == 0
     assert residue.residue_records(df.where("doc_id < 300")).count() == 0
+
+
+def test_residue_is_learned_beside_the_seeds(spark):
+    plain = [(i, f"The parser reads table {i} first. Then it fixes the queue.") for i in range(400)]
+    page = [(1000 + i, f"Page not found\nThe shelf{i} you wanted has been carried off.") for i in range(30)]
+    alone = [(2000 + i, f"The shelf{i} you wanted has been carried off.") for i in range(5)]
+    df = spark.createDataFrame(plain + page + alone, "doc_id bigint, text string")
+    assert {r.doc_id for r in residue.residue_records(df).collect()} == {i for i, _ in page + alone}
+
+
+def test_windows_of_long_passages():
+    words = ["word"] * 350 + ["page", "missing"] + ["word"] * 350
+    windows = residue.Featurizer().windows(" ".join(words))
+    assert all(len(w) <= residue.WINDOW for w in windows) and sum(len(w) for w in windows) >= len(words)
+    assert any(len(set(w)) == 3 for w in windows)
