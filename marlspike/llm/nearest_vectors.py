@@ -2,9 +2,11 @@
 
 Both halves of a vector are quantised separately by codebooks of K centroids each, which give K x K cells. A query
 walks the cells in the order of its summed squared distance to the two centroids, with a heap, passing by cells that
-cannot hold a vector within the bound (their radius is known), until ``budget`` entries have been met; the entries of the
-cells visited are then ranked by exact distance. The codebooks are fitted on a bounded sample (SAMPLE rows with the
-least hashes of their ids); every vector is indexed, and every vector is a query.
+cannot hold a vector within the bound (their radius is known), until ``budget`` entries have been met; without a budget
+it walks all cells that can, and the result is exact. The entries of the cells visited are then ranked by exact distance.
+K grows with the square root of the number of vectors. The codebooks are fitted on a bounded sample (SAMPLE rows, or
+SAMPLE_PER_CENTROID for each centroid if that is more, with the least hashes of their ids); every vector is indexed, and every
+vector is a query.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-SAMPLE, CELL_ROWS, MAX_K = 20_000, 16, 512
-#: Entries that a query meets before it stops, and cells that it looks at.
-BUDGET, MAX_CELLS = 800, 2_500
+#: Rows of the sample; vectors for which a cell is planned; centroids of a codebook: 2,048 give a cell for every 16 of 67 million
+#: vectors, and up to 3 billion a cell still holds fewer entries than a query's budget.
+SAMPLE, SAMPLE_PER_CENTROID, CELL_ROWS, MAX_K = 20_000, 32, 16, 2_048
+#: Entries that a query meets before it stops.
+BUDGET = 800
 #: Entries of one cell that are compared with a query at a time; larger cells are split into such blocks.
 BLOCK = 4_000
 
@@ -69,16 +73,21 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0))
 
 
+def centroids_for(n: int) -> int:
+    """Centroids of a codebook for n vectors."""
+    return int(np.clip(round((n / CELL_ROWS) ** 0.5), 2, MAX_K))
+
+
 class MultiIndex:
     """Codebooks of both halves, with cell populations and the radius of each centroid's share."""
 
     def __init__(self, sample: np.ndarray, n: int) -> None:
-        k = int(np.clip(round((n / CELL_ROWS) ** 0.5), 2, MAX_K))
+        k = centroids_for(n)
         self.dim = sample.shape[1]
         self.half = self.dim // 2
         self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)]
         self.k = max(len(b) for b in self.books)
-        self.counts: dict[int, int] = {}
+        self.counts = np.zeros(self.k * self.k, np.int64)
         self.radii = [np.zeros(len(b)) for b in self.books]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +97,8 @@ class MultiIndex:
         rows = np.arange(len(x))
         return near[0] * self.k + near[1], d[0][rows, near[0]], d[1][rows, near[1]]
 
-    def visits(self, x: np.ndarray, radius: float, budget: int) -> list[list[int]]:
-        """Cells that each query visits, by summed squared distance."""
+    def visits(self, x: np.ndarray, radius: float, budget: int | None) -> list[list[int]]:
+        """Cells that each query visits, by summed squared distance; without a budget all that can hold a vector within the radius."""
         d1, d2 = _distances(x[:, : self.half], self.books[0]), _distances(x[:, self.half :], self.books[1])
         o1, o2 = d1.argsort(1), d2.argsort(1)
         s1, s2 = np.take_along_axis(d1, o1, 1) ** 2, np.take_along_axis(d2, o2, 1) ** 2
@@ -104,12 +113,11 @@ class MultiIndex:
             last1, last2 = int(reach1[q]), int(reach2[q])
             cells: list[int] = []
             if last1 >= 0 and last2 >= 0:
-                heap, met, looked = [(a1[0] + a2[0], 0, 0)], 0, 0
-                while heap and met < budget and looked < MAX_CELLS:
+                heap, met = [(a1[0] + a2[0], 0, 0)], 0
+                while heap and (budget is None or met < budget):
                     _, i, j = heapq.heappop(heap)
-                    looked += 1
                     cell = i1[i] * k + i2[j]
-                    if l1[i] + l2[j] <= far and (number := counts.get(cell, 0)):
+                    if l1[i] + l2[j] <= far and (number := counts[cell]):
                         cells.append(cell)
                         met += number
                     if j < last2:
@@ -132,26 +140,30 @@ def _ranked(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, names: np
     return [frame.groupby("q", sort=False).head(k)]
 
 
-def nearest_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int, radius: float, k: int = 5, unit: bool = False, budget: int = BUDGET) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int, radius: float, k: int = 5, unit: bool = False, budget: int | None = BUDGET) -> DataFrame:
     """(q, id, dist): for every vector up to ``k`` nearest others within ``radius`` (Euclidean; with ``unit`` between the
     vectors scaled to length 1, where a cosine of c is a distance of sqrt(2 - 2c)). Ties go to the smaller id.
 
     Unusable vectors and rows with a null id take no part; ids must be unique (repeated rows count once). Of equal
     vectors only the k + 1 with the least ids are indexed; any further copy has the k least as its nearest at distance 0.
+    With ``budget=None`` the result is exact.
     """
     picked = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(usable(F.col("vec"), dim)).dropDuplicates(["id"])
     packed = to_binary(picked, dim, unit)
-    w = Window.partitionBy("vec").orderBy("id")
-    ranked = cut_lineage(packed.withColumn("_rn", F.row_number().over(w)))
-    base = ranked.where(F.col("_rn") <= k + 1).select("id", "vec")
-    least = ranked.where(F.col("_rn") <= k).select("vec", F.col("id").alias("_n"))
-    copies = ranked.where(F.col("_rn") > k + 1).select(F.col("id").alias("q"), "vec").join(least, "vec").select("q", F.col("_n").alias("id"), F.lit(0.0).alias("dist"))
+    packed = cut_lineage(packed)
+    # the limit on the rank cuts a hot vector to k + 1 rows in each partition before the shuffle
+    ranked = cut_lineage(packed.withColumn("_rn", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("_rn") <= k + 1))
+    base = ranked.select("id", "vec")
+    full = ranked.where(F.col("_rn") == k + 1).select("vec")
+    least = ranked.where(F.col("_rn") <= k).join(full, "vec", "left_semi").select("vec", F.col("id").alias("_n"))
+    more = packed.join(full, "vec", "left_semi").join(base.select("id"), "id", "left_anti").select(F.col("id").alias("q"), "vec")
+    copies = more.join(least, "vec").select("q", F.col("_n").alias("id"), F.lit(0.0).alias("dist"))
     n = base.count()
     kind = ranked.schema["id"].dataType.simpleString()
     schema = f"q {kind}, id {kind}, dist double"
     if n < 2:
         return copies
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, SAMPLE_PER_CENTROID * centroids_for(n))).toPandas()
     index = MultiIndex(unpack(sample["vec"], dim), n)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,11 +173,12 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vec_col: str, dim: int, rad
 
     cells = cut_lineage(base.mapInPandas(assign, f"id {kind}, vec binary, cell int, r1 double, r2 double"))
     # at most K x K and K rows: bounded by the codebooks, not by the data
-    index.counts = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    index.counts[held["cell"]] = held["n"]
     for half, (column, code) in enumerate((("r1", F.floor(F.col("cell") / index.k)), ("r2", F.col("cell") % index.k))):
         for r in cells.groupBy(code.cast("int").alias("c")).agg(F.max(column).alias("r")).collect():
             index.radii[half][r["c"]] = r["r"] * (1 + 1e-9) + 1e-9
-    blocks = {c: -(-m // BLOCK) for c, m in index.counts.items() if m > BLOCK}
+    blocks = {int(c): int(-(-index.counts[c] // BLOCK)) for c in np.flatnonzero(index.counts > BLOCK)}
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

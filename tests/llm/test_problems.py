@@ -88,12 +88,13 @@ def odd_vectors(dim=8):
     return [("n1", None), ("n2", []), ("n3", [0.0] * dim), ("n4", [float("nan")] * dim), ("n5", [1.0]), (None, [1.0] * dim)]
 
 
-def test_nearest_vectors_like_brute_force(spark):
+@pytest.mark.parametrize("budget", [nearest_vectors.BUDGET, None])
+def test_nearest_vectors_like_brute_force(spark, budget):
     rows = unit_rows()
     rows += [(f"c{i}", rows[0][1]) for i in range(9)]
     df = spark.createDataFrame([*rows, *odd_vectors(), rows[5]], "id string, vec array<double>").withColumn("cell", F.lit(1)).withColumn("q", F.lit(0))
     got = {}
-    for r in nearest_vectors.nearest_vectors(df, "id", "vec", 8, 0.3).collect():
+    for r in nearest_vectors.nearest_vectors(df, "id", "vec", 8, 0.3, budget=budget).collect():
         got.setdefault(r.q, set()).add(r.id)
     ids, x = [r[0] for r in rows], np.array([r[1] for r in rows])
     for i, q in enumerate(ids):
