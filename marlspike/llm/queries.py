@@ -54,6 +54,11 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, root, "documents"))
 
 
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """The texts made from their ids again."""
+    return tokenizing.decode_corpus(tokenizing.encode_corpus(table(spark, root, "documents")))
+
+
 def _clusters(spark: SparkSession, root: str) -> clustering.Clusters:
     rows = current_rows(table(spark, root, "discovered_pattern"), "pattern_id", ["centroid"])
     return clustering.Clusters(rows, "pattern_id", "centroid", 64)
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p7_proximity": p7_proximity,
@@ -138,4 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_scores": p8_scores,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

@@ -3,7 +3,8 @@
 Texts are split into words by the tokenizer's pattern. Each distinct word is encoded once: its bytes (held as a string
 of one character per byte) are folded by Spark's higher-order functions, each step joining the leftmost pair of least
 rank, with ranks looked up in literal arrays that form a hash table (two slots per entry). The word dictionary is joined
-back: its most frequent part, of bounded size, by a broadcast, the rest by a shuffle on the word.
+back: its most frequent part, of bounded size, by a broadcast, the rest by a shuffle on the word; each text's pieces are gathered
+once.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 TOKENIZERS = "/opt/tokenizers"
-#: Words of more bytes than this are merged with a heap in Arrow batches: the fold takes quadratic time in the length.
-FOLD_BYTES = 40
-#: Entries of the broadcast part of the word dictionary; words are at most FOLD_BYTES long there, so it is under 16 MB.
-HOT_WORDS = 50_000
+#: Words of more bytes than this are merged with a heap in Arrow batches: the fold copies its arrays once for each merge.
+FOLD_BYTES = 1_000
+#: Entries of the broadcast part of the word dictionary: words of at most SHORT_BYTES (under 16 MB), and a tenth as many longer ones
+#: of at most FOLD_BYTES (some 10 MB at the very most).
+HOT_WORDS, SHORT_BYTES = 50_000, 40
 
 _SPACE = r"\t-\r \u0085   -     　"
 #: The pre-tokenization pattern of the rank files, with Unicode's white space written out.
@@ -89,23 +91,37 @@ class RankTable:
         return F.get(F.filter(ranks, lambda r: F.get(self.tokens, F.when(r >= 0, r)) == token), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """Ids of a word: merges folded over its bytes, the leftmost pair of least rank first."""
+        """Ids of a word: merges folded over its bytes, the leftmost pair of least rank first.
+
+        The fold carries the pieces and the rank of each adjacent pair; a merge looks up only the two pairs that it makes anew.
+        """
+        bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+        none = F.lit(2**31 - 1)
+        rank = lambda token: F.coalesce(self.rank(token), none)
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
         pieces = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
+        no_ranks = F.array().cast("array<int>")
+        ranks = F.when(F.length(raw) > 1, F.transform(F.sequence(F.lit(1), F.length(raw) - 1), lambda i: rank(F.substring(raw, i, F.lit(2))))).otherwise(no_ranks)
+
+        def step(state: Column, _: Column) -> Column:
+            p, r = state["p"], state["r"]
 
-        def step(p: Column, _: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: self.rank(F.concat(F.get(p, i), F.get(p, i + 1))))
+            def merge(at: Column) -> Column:
+                def around(token: Column) -> Column:
+                    left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), token)))).otherwise(no_ranks)
+                    right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(token, F.get(p, at + 1))))).otherwise(no_ranks)
+                    return F.struct(
+                        F.concat(F.slice(p, F.lit(1), at - 1), F.array(token), F.slice(p, at + 2, F.size(p))).alias("p"),
+                        F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
+                    )
 
-            def join(q: Column) -> Column:
-                at = F.array_position(q, F.array_min(q)).cast("int")
-                merged = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-                return F.when(F.array_min(q).isNull(), p).otherwise(merged)
+                return bind(F.concat(F.get(p, at - 1), F.get(p, at)), around)
 
-            joined = F.get(F.transform(F.array(pairs), join), F.lit(0))
-            return F.when(F.size(p) < 2, p).otherwise(joined)
+            least = F.array_min(r)
+            return F.when(least.isNull() | (least == none), state).otherwise(bind(F.array_position(r, least).cast("int"), merge))
 
-        steps = F.when(F.length(raw) > 1, F.sequence(F.lit(2), F.length(raw))).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.aggregate(steps, pieces, step), self.rank)
+        steps = F.when(F.length(raw) > 1, F.sequence(F.lit(2), F.length(raw))).otherwise(no_ranks)
+        return F.transform(F.aggregate(steps, F.struct(pieces.alias("p"), ranks.alias("r")), step)["p"], self.rank)
 
     def decode(self, ids: Column) -> Column:
         """Text of ids: their binary pieces in a row, read as UTF-8."""
@@ -162,21 +178,19 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     ranks = ranks or rank_path()
     base = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     words = word_dictionary(base, "_text", ranks)
-    hot = cut_lineage(words.where(F.octet_length("word") <= FOLD_BYTES).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids"))
-    key = ["_id", "_h1", "_h2", "_len"]
-    keyed = base.groupBy(F.col("_id"), F.xxhash64("_text").alias("_h1"), F.hash("_text").alias("_h2"), F.length("_text").alias("_len")).agg(F.max("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
+    best = lambda df, n: df.orderBy(F.desc("n"), "word").limit(n).select("word", "ids")
+    size = F.octet_length("word")
+    hot = cut_lineage(best(words.where(size <= SHORT_BYTES), hot_words).unionByName(best(words.where((size > SHORT_BYTES) & (size <= FOLD_BYTES)), hot_words // 10)))
+    # the place of a row in its file split names it: the same for each reading of the same files
+    rows = base.withColumn("_row", F.monotonically_increasing_id())
     # outer: a text without words keeps its row
-    spread = keyed.select(*key, "_copies", F.posexplode_outer(split_words(F.col("_text"))).alias("_pos", "word"))
-    known = spread.join(F.broadcast(hot), "word", "left")
+    spread = rows.select("_row", "_id", F.posexplode_outer(split_words(F.col("_text"))).alias("_pos", "word"))
+    known = spread.join(F.broadcast(hot), "word", "left").where(F.col("ids").isNotNull() | F.col("word").isNull() | (F.col("_pos") == 0)).select("_row", "_id", "_pos", "ids")
+    rare = spread.where("word is not null").join(F.broadcast(hot.select("word")), "word", "left_anti").join(words.select("word", "ids"), "word").select("_row", "_id", "_pos", "ids")
     piece = F.when(F.col("ids").isNotNull(), F.struct("_pos", "ids"))
-    by_doc = known.groupBy(*key).agg(F.first("_copies").alias("_copies"), F.collect_list(piece).alias("_known"))
-    rare = spread.where("word is not null").join(F.broadcast(hot.select("word")), "word", "left_anti").join(words.select("word", "ids"), "word")
-    rare_by_doc = rare.groupBy(*key).agg(F.collect_list(F.struct("_pos", "ids")).alias("_rare"))
-    matched = [by_doc[k].eqNullSafe(rare_by_doc[k]) for k in key]
-    whole = by_doc.join(rare_by_doc, matched, "left").select(by_doc["_id"], "_copies", F.concat("_known", F.coalesce("_rare", F.array().cast(rare_by_doc.schema["_rare"].dataType))).alias("_all"))
+    listed = known.unionByName(rare).groupBy("_row").agg(F.first("_id").alias("_id"), F.collect_list(piece).alias("_all"))
     ids = F.flatten(F.transform(F.array_sort("_all"), lambda x: x["ids"]))
-    listed = whole.select("_id", "_copies", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
-    return listed.select(F.col("_id").alias(id_col), "ids", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    return listed.select(F.col("_id").alias(id_col), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
 
 
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
