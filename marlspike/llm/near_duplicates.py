@@ -195,7 +195,8 @@ def similar_classes(
     members = cut_lineage(sketches.select("item", *key).distinct().join(reps, key).select("item", "rep", "n_members"))
     own = members.where("item = rep").select("rep", "n_members")
     one = sketches.select(F.col("item").alias("rep"), "bands").join(own.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    banded = one.select("rep", F.explode("bands").alias("band")).repartition("band")
+    banded = cut_lineage(one.select("rep", F.explode("bands").alias("band")))
+    # counted map-side first: a hot band is a few rows here, and its join below is split by its skew
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = banded.join(sizes, "band")
     usual = shared.where(F.col("n") <= bucket_pairs)
