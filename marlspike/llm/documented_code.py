@@ -339,9 +339,33 @@ def _one_line(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
+def _indents(src: Source) -> tuple[list[int], list[int], list[int]]:
+    """(numbers of the lines that are not blank, their indents, for each the index of the next one that is indented less)."""
+    filled, indents = [], []
+    for no, start in enumerate(src.starts, 1):
+        raw = src.code[start : src.starts[no] if no < len(src.starts) else len(src.code)].expandtabs()
+        if raw.strip():
+            filled.append(no)
+            indents.append(len(raw) - len(raw.lstrip()))
+    lower, waiting = [len(filled)] * len(filled), []
+    for i, indent in enumerate(indents):
+        while waiting and indents[waiting[-1]] > indent:
+            lower[waiting.pop()] = i
+        waiting.append(i)
+    return filled, indents, lower
+
+
 def _python_functions(src: Source) -> Iterator[Function]:
-    classes = [(len(m[1].expandtabs()), m.start()) for m in re.finditer(r"(?m)^([ \t]*)class\b", src.code)]
-    for m in _PYTHON.finditer(src.code):
+    filled, indents, lower = _indents(src)
+    scopes: list[tuple[int, bool]] = []  # (indent, whether a class) of what is open
+    declared = sorted([(m.start(), len(m[1].expandtabs()), None) for m in re.finditer(r"(?m)^([ \t]*)class\b", src.code)] + [(m.start(), len(m["indent"].expandtabs()), m) for m in _PYTHON.finditer(src.code)], key=lambda d: d[0])
+    for _, indent, m in declared:
+        while scopes and scopes[-1][0] >= indent:
+            scopes.pop()
+        method = bool(scopes) and scopes[-1][1]
+        scopes.append((indent, m is None))
+        if m is None:
+            continue
         close = src.closing(m.end() - 1)
         if close < 0:
             continue
@@ -361,17 +385,12 @@ def _python_functions(src: Source) -> Iterator[Function]:
                     doc = doc[quote:-quote]
                 break
             at, i = token.end, i + 1
-        indent = len(m["indent"].expandtabs())
         line = src.line(m.start())
-        end = line
-        for no in range(src.line(colon) + 1, len(src.starts) + 1):
-            raw = src.code[src.starts[no - 1] : src.starts[no] if no < len(src.starts) else len(src.code)]
-            if raw.strip():
-                if len(raw.expandtabs()) - len(raw.expandtabs().lstrip()) <= indent:
-                    break
-                end = no
-        owner = [c for c in classes if c[1] < m.start() and c[0] < indent]
-        kind = "method" if owner and not any(owner[-1][1] < d.start() < m.start() and len(d["indent"].expandtabs()) < indent and len(d["indent"].expandtabs()) > owner[-1][0] for d in _PYTHON.finditer(src.code, owner[-1][1], m.start())) else "function"
+        k = bisect_left(filled, src.line(colon) + 1)
+        after = k
+        while after < len(filled) and indents[after] > indent:
+            after = lower[after]
+        kind, end = "method" if method else "function", filled[after - 1] if after > k else line
         yield Function(m["name"], kind, _one_line(src.text[m.start() : colon + 1]), line, end, doc)
 
 

@@ -339,6 +339,45 @@ def test_leaks_like_brute_force(spark):
     assert leakage.leaked_documents(ddf.limit(0), idf).count() == 0 and leakage.leaked_documents(ddf, idf.limit(0)).count() == 0
 
 
+def test_proximity_like_brute_force(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    words = [f"t{i}" for i in range(50)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([16, 12, 8])]
+    docs = []
+    for d in range(40):
+        t = rng.choice(items)[1].split()
+        t.insert(rng.randrange(len(t)), "between")
+        docs.append((d, " ".join([*[rng.choice(words) for _ in range(rng.randrange(20))], *t])))
+    ddf, idf = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    tests = leakage.test_items(idf, "item_id", "text")
+    pairs = {d: [(i, p) for i, p in enumerate(zip(t.split(), t.split()[1:]))] for d, t in docs}
+    placed = {i: list(enumerate(zip(t.split(), t.split()[1:]))) for i, t in items}
+    named = {r.term: (r.x, r.y) for r in spark.createDataFrame(sorted({p for v in placed.values() for _, p in v}), "x string, y string").selectExpr("x", "y", "xxhash64(x, y) as term").collect()}
+    code = {p: t for t, p in named.items()}
+    df = {p: sum(q == p for v in pairs.values() for _, q in v) for p in code}
+    want = {}
+    for i, v in placed.items():
+        need = min(12, len(v) + 1)
+        anchors = set()
+        for s in range(len(v) - need + 2):
+            w = v[s : s + need - 1]
+            if all(df[p] for _, p in w):
+                (_, p1, t1), (_, p2, t2) = sorted((df[p], at, code[p]) for at, p in w)[:2]
+                anchors.add((p1, named[t1], p2, named[t2]))
+        for d, at in pairs.items():
+            hits = {(p1, b) for p1, a, p2, b in anchors for x, q in at if q == a for y, r in at if r == b and abs(y - (x - p1 + p2)) <= 4}
+            if hits:
+                want[(d, i)] = len(hits)
+    for bound in (leakage.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(leakage, "BROADCAST_BYTES", bound)
+        got = {(r.doc_id, r.item_id): r.windows for r in leakage.PositionalIndex(ddf, tests).proximity_matches(4).collect()}
+        assert got == want and want
+    assert {(r.doc_id, r.item_id) for r in leakage.PositionalIndex(ddf, tests).proximity_matches(4, 2).collect()} == {k for k, n in want.items() if n >= 2}
+    leakage.write_index(ddf, str(tmp_path / "index"), files=3)
+    stored = leakage.PositionalIndex(ddf, tests, index=spark.read.parquet(str(tmp_path / "index")))
+    assert {(r.doc_id, r.item_id): r.windows for r in stored.proximity_matches(4).collect()} == want
+
+
 def test_residue(spark):
     rng = random.Random(4)
     plain = ["The {0} now reads the {1} first.", "We moved {0} out of the {1}.", "If {0} returns nothing, check the {1}.", "Fixes a slow {0} in the {1} path."]
