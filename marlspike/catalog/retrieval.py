@@ -72,18 +72,31 @@ HASHED_SQL = "WITH " + _lists_sql("hashed", "h", 4096)
 BOTH_SQL = LEX_SQL + ", " + _lists_sql("hashed", "h", 4096)
 
 
-def _postings(spark, root, dim=None):
-    return retrieve.postings(table(spark, root, "eval_item"), "item_id", "text", dim), retrieve.postings(table(spark, root, "documents"), "doc_id", "text", dim)
+def _texts(spark, root) -> tuple[DataFrame, DataFrame]:
+    return table(spark, root, "eval_item").select(F.col("item_id").alias("id"), "text"), table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _lexical(spark, root) -> DataFrame:
+    return cut_lineage(retrieve.lexical_scan(*_texts(spark, root), 10))
 
 
 @query("lexical_topk", LEX_SQL + " SELECT query_id, id, score, rank FROM lex")
 def lexical_topk(spark, root):
-    return retrieve.lexical_topk(*_postings(spark, root), 10)
+    return retrieve.lexical_scan(*_texts(spark, root), 10)
 
 
 def _hashed(spark, root):
-    q, c = _postings(spark, root, 4096)
-    return retrieve.lexical_topk(retrieve.normalised(q), retrieve.normalised(c), 10, "w")
+    return cut_lineage(retrieve.lexical_scan(*_texts(spark, root), 10, dim=4096, norm_queries=True, norm_corpus=True))
+
+
+def _postings(spark, root, dim=None):
+    return retrieve.postings(table(spark, root, "eval_item"), "item_id", "text", dim), retrieve.postings(table(spark, root, "documents"), "doc_id", "text", dim)
+
+
+@query("sparse_dot_join", LEX_SQL + " SELECT query_id, id, score, rank FROM lex")
+def sparse_dot_join(spark, root):
+    """The same list from two tables of postings."""
+    return retrieve.lexical_topk(*_postings(spark, root), 10)
 
 
 @query("lexical_hash_topk", HASHED_SQL + " SELECT query_id, id, score, rank FROM hashed")
@@ -95,14 +108,14 @@ def lexical_hash_topk(spark, root):
  f AS (SELECT query_id, id, round(sum(p), 9) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (30 + rank) AS p FROM lex UNION ALL SELECT query_id, id, 1.25::DOUBLE * (1.0::DOUBLE / (30 + rank)) FROM hashed) GROUP BY ALL)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_fusion(spark, root):
-    lex = retrieve.lexical_topk(*_postings(spark, root), 10)
+    lex = _lexical(spark, root)
     return retrieve.fuse([(lex, 1.0), (_hashed(spark, root), 1.25)])
 
 
 @query("score_normalisation", LEX_SQL + """, s AS (SELECT query_id, avg(score) AS m, stddev_pop(score) AS d FROM lex GROUP BY query_id)
 SELECT query_id, id, score, rank, round(CASE WHEN d > 0 THEN 1 / (1 + exp(-0.5::DOUBLE * (score - m) / d)) ELSE 0.5 END, 6)::DOUBLE AS norm FROM lex JOIN s USING (query_id)""")
 def score_normalisation(spark, root):
-    lex = retrieve.lexical_topk(*_postings(spark, root), 10)
+    lex = _lexical(spark, root)
     return retrieve.normalise_scores(lex)
 
 
@@ -110,7 +123,7 @@ def score_normalisation(spark, root):
  i AS (SELECT query_id, count(*) AS n FROM lex JOIN hashed USING (query_id, id) GROUP BY query_id), a AS (SELECT query_id, count(*) AS n FROM lex GROUP BY query_id), b AS (SELECT query_id, count(*) AS n FROM hashed GROUP BY query_id)
 SELECT a.query_id, round(coalesce(i.n, 0)::DOUBLE / (a.n + b.n - coalesce(i.n, 0)), 6) AS overlap FROM a JOIN b USING (query_id) LEFT JOIN i USING (query_id)""")
 def topk_overlap(spark, root):
-    lex, hashed = retrieve.lexical_topk(*_postings(spark, root), 10), _hashed(spark, root)
+    lex, hashed = _lexical(spark, root), _hashed(spark, root)
     a, b = (x.groupBy("query_id").agg(F.collect_set("id").alias(n)) for x, n in ((lex, "a"), (hashed, "b")))
     return a.join(b, "query_id").select("query_id", rounded(tokens.jaccard(F.col("a"), F.col("b"))).alias("overlap"))
 
@@ -119,7 +132,7 @@ def topk_overlap(spark, root):
  p AS (SELECT query_id, id, lex.rank AS a, hashed.rank AS b FROM lex JOIN hashed USING (query_id, id))
 SELECT x.query_id, round(avg(CASE WHEN (x.a - y.a) * (x.b - y.b) > 0 THEN 1.0 ELSE -1.0 END::DOUBLE), 6) AS tau FROM p x JOIN p y ON x.query_id = y.query_id AND x.id < y.id GROUP BY x.query_id""")
 def kendall_tau(spark, root):
-    lex, hashed = retrieve.lexical_topk(*_postings(spark, root), 10), _hashed(spark, root)
+    lex, hashed = _lexical(spark, root), _hashed(spark, root)
     return metrics.kendall_tau(lex.select("query_id", "id", F.col("rank").alias("a")).join(hashed.select("query_id", "id", F.col("rank").alias("b")), ["query_id", "id"]))
 
 
@@ -127,7 +140,7 @@ def kendall_tau(spark, root):
  e AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, source, path ORDER BY rank) = 1), p AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY rank) <= 2)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5""")
 def entity_dedup_path_cap(spark, root):
-    lex = retrieve.lexical_topk(*_postings(spark, root), 10)
+    lex = _lexical(spark, root)
     docs = table(spark, root, "documents").select(F.col("doc_id").alias("id"), "source", F.coalesce("repo", F.lit("")).alias("path"))
     one = postprocess.first_per_entity(lex.join(docs, "id"), "query_id", ["source", "path"])
     return postprocess.cap_per_path(one, "query_id", 2, 5).select("query_id", "id", "rank")
@@ -155,13 +168,13 @@ def span_budget(spark, root):
 @query("context_blend")
 def context_blend(spark, root):
     code = hybrid.search(_queries(spark, root), _points(spark, root))
-    return graph.blend(code, retrieve.lexical_topk(*_postings(spark, root), 10), 10)
+    return graph.blend(code, _lexical(spark, root), 10)
 
 
 @query("memory_find", BOTH_SQL + """
  SELECT query_id, id, round(sum(p), 9) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS p FROM hashed UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM lex) GROUP BY ALL""")
 def memory_find(spark, root):
-    return graph.memory_find(_hashed(spark, root), retrieve.lexical_topk(*_postings(spark, root), 10))
+    return graph.memory_find(_hashed(spark, root), _lexical(spark, root))
 
 
 @query("recursive_rerank")
@@ -175,7 +188,7 @@ def recursive_rerank(spark, root):
  s AS (SELECT query_id, id, score, CASE WHEN len(qt) > 0 THEN round(len(list_intersect(qt, dt))::DOUBLE / len(qt), 6) ELSE 0 END AS second FROM t), m AS (SELECT query_id, min(second) AS lo, max(second) AS hi, max(score) AS top FROM s GROUP BY query_id)
 SELECT query_id, id, round(0.6::DOUBLE * (CASE WHEN hi > lo THEN (second - lo) / (hi - lo) ELSE 0 END) + 0.4::DOUBLE * score / greatest(1.0::DOUBLE, top), 6) AS final FROM s JOIN m USING (query_id)""")
 def rerank_blend(spark, root):
-    lex = retrieve.lexical_topk(*_postings(spark, root), 10)
+    lex = _lexical(spark, root)
     q = table(spark, root, "eval_item").select(F.col("item_id").alias("query_id"), F.array_distinct(tokens.ident_tokens(F.col("text"), True)).alias("qt"))
     d = table(spark, root, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(tokens.ident_tokens(F.col("text"), True)).alias("dt"))
     second = lex.join(q, "query_id").join(d, "id").withColumn("second", rerank.overlap_score(F.col("qt"), F.col("dt")))
@@ -185,7 +198,7 @@ def rerank_blend(spark, root):
 @query("feedback_terms", LEX_SQL + f""", t AS (SELECT query_id, unnest({sql_tokens('d.text', True)}) AS term FROM lex JOIN documents d ON d.doc_id = lex.id WHERE rank <= 8), n AS (SELECT query_id, term, count(*) AS n FROM t WHERE length(term) > 2 GROUP BY ALL)
 SELECT query_id, term, n FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) <= 6""")
 def feedback_terms(spark, root):
-    lex = retrieve.lexical_topk(*_postings(spark, root), 10)
+    lex = _lexical(spark, root)
     return expand.feedback_terms(lex, table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, tokens
-from ..session import rounded
+from ..session import cut_lineage, rounded
 
-#: Query vectors that are compared at a time by broadcast; beyond it the query side is shuffled in blocks.
-BROADCAST_QUERIES = 20_000
+#: Query vectors, and query texts, that go to the executors at a time; more are taken block by block.
+BROADCAST_QUERIES, SCAN_QUERIES = 20_000, 2_000
+#: Terms up to which a set of wanted ones is broadcast (some 30 MB).
+BROADCAST_TERMS = 1_000_000
+_IDENT = re.compile(tokens.IDENT)
 
 
 def top_k(df: DataFrame, group: str | list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -22,20 +30,33 @@ def top_k(df: DataFrame, group: str | list[str], order: list[Column], k: int, ra
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def query_blocks(queries: DataFrame, id_col: str, size: int) -> list[DataFrame]:
+    """The rows of ``queries`` in blocks of about ``size`` by a hash of their id; one block if they fit."""
+    n = -(-queries.count() // size)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64(id_col), F.lit(n)) == i) for i in range(n)]
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, id, score, rank): exact cosine of a stated query set against all rows, the query itself left out.
 
-    The query block (at most BROADCAST_QUERIES rows, checked) goes to the executors as one matrix; the corpus is scanned
-    once in Arrow batches, multiplied, cut to k rows a query and batch, and only those are shuffled. All-zero
-    vectors score 0; null vectors and ids and vectors of another length than the queries' take no part.
+    Queries go to the executors as matrices of about ``block_rows`` rows, one after the other; for each the corpus is scanned
+    once in Arrow batches, multiplied, cut to k rows a query and batch, and only those are shuffled. All-zero vectors score
+    0; null vectors and ids and vectors of another length than the queries' take no part.
     """
-    q = queries.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(q) > BROADCAST_QUERIES:
-        raise ValueError("too many query vectors for one block; split them")
     kind = corpus.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, score double"
-    if not len(q):
+    picked = queries.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    parts = [_dense_block(b.toPandas(), corpus, k, id_col, vec_col, schema) for b in query_blocks(picked, "id", block_rows)]
+    found = [p for p in parts if p is not None]
+    if not found:
         return corpus.sparkSession.createDataFrame([], f"{schema}, rank bigint")
+    return top_k(reduce(DataFrame.unionByName, found), "query_id", [F.desc("score"), F.asc("id")], k)
+
+
+def _dense_block(q: pd.DataFrame, corpus: DataFrame, k: int, id_col: str, vec_col: str, schema: str) -> DataFrame | None:
+    """The best k of each Arrow batch of the corpus for each query of a block."""
+    if not len(q):
+        return None
     ids, dim = q["id"].to_numpy(), len(q["v"].iloc[0])
 
     def unit(x: np.ndarray) -> np.ndarray:
@@ -55,7 +76,86 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec
             yield frame[frame["query_id"] != frame["id"]]
 
     c = corpus.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    return top_k(c.mapInPandas(run, schema), "query_id", [F.desc("score"), F.asc("id")], k)
+    return c.mapInPandas(run, schema)
+
+
+class _Terms:
+    """Term numbers of tokens: the first 32 bits of the md5, modulo ``dim`` if given; remembered up to a bound."""
+
+    KEPT = 500_000
+
+    def __init__(self, dim: int | None, drop_stop_words: bool) -> None:
+        self.dim, self.stop, self.known = dim, frozenset(tokens.STOP_WORDS) if drop_stop_words else frozenset(), {}
+
+    def counts(self, text: str | None) -> Counter:
+        found: Counter = Counter()
+        for t, n in Counter(w.lower() for w in _IDENT.findall(text or "")).items():
+            if t in self.stop:
+                continue
+            if (term := self.known.get(t)) is None:
+                term = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+                term = term % self.dim if self.dim else term
+                if len(self.known) < self.KEPT:
+                    self.known[t] = term
+            found[term] += n
+        return found
+
+
+def lexical_scan(queries: DataFrame, corpus: DataFrame, k: int, dim: int | None = None, norm_queries: bool = False, norm_corpus: bool = False, drop_stop_words: bool = True, block_rows: int = SCAN_QUERIES) -> DataFrame:
+    """(query_id, id, score, rank): the k texts of ``corpus`` (id, text) with the greatest dot product of term counts with each of
+    ``queries`` (id, text), both sides scaled to length 1 where asked; texts without a common term are left out.
+
+    Queries go to the executors in blocks as a sparse matrix; for each block the corpus is scanned once, every Arrow batch
+    is cut to k rows a query, and only those are shuffled. Null texts have no term, rows with a null id take no part.
+    """
+    kind = corpus.schema["id"].dataType.simpleString()
+    asked = queries.schema["id"].dataType.simpleString()
+    schema = f"query_id {asked}, id {kind}, score double"
+    picked = queries.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
+    rows = corpus.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
+    found = []
+    for block in query_blocks(picked, "id", block_rows):
+        q = block.toPandas()
+        vectors = [_Terms(dim, drop_stop_words).counts(t) for t in q["text"]]
+        column = {term: i for i, term in enumerate(sorted({t for v in vectors for t in v}))}
+        weights = np.zeros((len(column), len(q)))
+        for i, v in enumerate(vectors):
+            size = math.sqrt(sum(n * n for n in v.values())) if norm_queries else 1.0
+            for term, n in v.items():
+                weights[column[term], i] = n / size
+        if column:
+            found.append(rows.mapInPandas(_scorer(q["id"].to_numpy(), weights, column, k, dim, norm_corpus, drop_stop_words), schema))
+    if not found:
+        return corpus.sparkSession.createDataFrame([], f"{schema}, rank bigint")
+    return top_k(reduce(DataFrame.unionByName, found), "query_id", [F.desc("score"), F.asc("id")], k)
+
+
+def _scorer(names: np.ndarray, weights: np.ndarray, column: dict[int, int], k: int, dim: int | None, norm: bool, drop: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = _Terms(dim, drop)
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                at, value, owner = [], [], []
+                for i, text in enumerate(part["text"]):
+                    found = terms.counts(text)
+                    size = math.sqrt(sum(n * n for n in found.values())) if norm else 1.0
+                    for term, n in found.items():
+                        if (c := column.get(term)) is not None:
+                            at.append(c)
+                            value.append(n / size)
+                            owner.append(i)
+                if not at:
+                    continue
+                matrix = np.zeros((len(part), len(weights)))
+                matrix[owner, at] = value
+                s = (matrix @ weights).round(6)
+                ids = part["id"].to_numpy()
+                order = np.lexsort((np.broadcast_to(ids, s.T.shape), -s.T), axis=1)[:, :k]
+                frame = pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order].reshape(-1), "score": np.take_along_axis(s.T, order, 1).reshape(-1)})
+                yield frame[frame["score"] > 0]
+
+    return run
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, dim: int | None = None, drop_stop_words: bool = True) -> DataFrame:
@@ -72,9 +172,9 @@ def normalised(vectors: DataFrame) -> DataFrame:
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, weight: str = "tf") -> DataFrame:
-    """(query_id, id, score, rank): the dot product of two tables of postings by an equi-join on the term.
+    """(query_id, id, score, rank): the dot product of two stored tables of postings by an equi-join on the term.
 
-    Corpus terms no query has are dropped before the shuffle; a hot term is split by AQE's skew join.
+    For postings that exist already; texts are better scanned by ``lexical_scan``. A hot term is split by AQE's skew join.
     """
     q = queries.select(F.col("id").alias("query_id"), "term", F.col(weight).alias("_q"))
     hits = corpus.select("id", "term", F.col(weight).alias("_c")).join(q, "term")
@@ -95,7 +195,9 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = scores.RRF_K, limit: int
 def token_weights(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(term, df, weight): ln(1 + N / (df + 1)) over all documents, divided by its mean over the wanted terms."""
     n = docs.select(F.count(F.lit(1)).alias("n"))
-    df = docs.select(F.col(id_col), F.explode(F.array_distinct(tokens.ident_tokens(F.col(text_col), True))).alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = cut_lineage(wanted)
+    small = wanted.count() <= BROADCAST_TERMS
+    df = docs.select(F.col(id_col), F.explode(F.array_distinct(tokens.ident_tokens(F.col(text_col), True))).alias("term")).join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = wanted.join(df, "term", "left").join(F.broadcast(n)).select("term", F.coalesce("df", F.lit(0)).alias("df"), F.log(F.lit(1.0) + F.col("n") / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
     return idf.join(F.broadcast(mean)).select("term", "df", rounded(F.col("idf") / F.col("mean")).alias("weight"))
