@@ -48,9 +48,15 @@ def ranking_quality(spark, root):
     return metrics.ranking_quality(_judged(spark, root))
 
 
-@query("pass_at_k", DENSE_SQL + """ SELECT d.query_id, bool_and(a.label = b.label) AS passed FROM dense d JOIN v a ON a.vec_id = d.id JOIN v b ON b.vec_id = d.query_id WHERE d.rank <= 3 GROUP BY d.query_id""")
+@query("pass_at_k", DENSE_SQL + """, t AS (SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 2),
+ n AS (SELECT t.query_id, count(d.id) AS found, count(*) AS truth FROM t LEFT JOIN (SELECT query_id, id FROM dense JOIN v ON v.vec_id = dense.id WHERE label % 2 = 0) d USING (query_id, id) GROUP BY t.query_id)
+SELECT query_id, found = truth AS passed FROM n""")
 def pass_at_k(spark, root):
-    return _judged(spark, root).where("rank <= 3").groupBy("query_id").agg(F.bool_and("relevant").alias("passed"))
+    """Whether a query's whole truth (its two nearest) is among what a list of the nearest with an even label returns."""
+    e = table(spark, root, "embeddings")
+    near = cut_lineage(_dense(spark, root))
+    even = near.join(e.where("label % 2 = 0").select(F.col("vec_id").alias("id")), "id")
+    return metrics.pass_at_k(even, near.where("rank <= 2"), 10)
 
 
 def _lists_sql(name: str, p: str, dim: int | None = None) -> str:
@@ -147,22 +153,87 @@ def entity_dedup_path_cap(spark, root):
 
 
 def _points(spark, root):
-    c = chunks(spark, root, "path", "language", "repo", "start_line", "end_line", "chunk_text", "calls", "last_modified_at")
-    return c.select("id", "path", F.get("calls", F.lit(0)).alias("symbol"), F.coalesce("chunk_text", F.lit("")).alias("code"), F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("end_line", "start_line", F.lit(1)).alias("end_line"), F.col("last_modified_at").alias("modified"))
+    c = cut_lineage(chunks(spark, root, "path", "start_line", "end_line", "chunk_text", "last_modified_at"))
+    return c.select(
+        "id", "path", hybrid.declared_symbol(F.col("chunk_text")).alias("symbol"), F.coalesce("chunk_text", F.lit("")).alias("code"),
+        F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("end_line", "start_line", F.lit(1)).alias("end_line"), F.col("last_modified_at").alias("modified"),
+    )
 
 
 def _queries(spark, root):
     return table(spark, root, "eval_item").where("text is not null").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _ranked_sql(name: str, p: str, k: int, dim: int | None, norm_q: bool, stop: bool) -> str:
+    """CTEs that end in the ranked list ``name`` of points p (id, txt) for queries q (id, txt)."""
+    h = "('0x' || substr(md5(t), 1, 8))::BIGINT" + (f" % {dim}" if dim else "")
+    out = []
+    for side, norm in (("q", norm_q), ("p", True)):
+        out.append(f"{p}{side} AS (SELECT id, {h} AS term, count(*) AS tf FROM (SELECT id, unnest({sql_tokens('txt', stop)}) AS t FROM {side}) GROUP BY ALL)")
+        weight = "tf / sqrt(sum(tf * tf) OVER (PARTITION BY id))" if norm else "tf::DOUBLE"
+        out.append(f"{p}{side}w AS (SELECT id, term, {weight} AS w FROM {p}{side})")
+    out.append(f"""{name} AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
+ (SELECT a.id AS query_id, b.id AS id, round(sum(a.w * b.w), 6) AS score FROM {p}qw a JOIN {p}pw b USING (term) GROUP BY ALL) QUALIFY rank <= {k})""")
+    return ", ".join(out)
+
+
+_TEST_SQL = "regexp_matches(lp, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\\.\\w+$|\\.(test|spec)\\.\\w+$')"
+_VENDOR_SQL = "(" + " OR ".join(f"contains(lp, '{v}')" for v in filters.VENDOR_PARTS) + ")"
+_CODE_SQL = "ext IN (" + ", ".join(f"'{e}'" for e in filters.CODE_EXTENSIONS) + ")"
+_CONFIG_SQL = "ext IN (" + ", ".join(f"'{e}'" for e in filters.CONFIG_EXTENSIONS) + ")"
+_DOCUMENT_SQL = "(contains(lp, 'readme') OR contains(lp, '/docs/') OR contains(lp, '/documentation/') OR ends_with(lp, '.md'))"
+_FILLED_SQL = "list_filter(string_split(code, chr(10)), lambda x: trim(x, ' ') <> '')"
+_COMMENT_SQL = "len(list_filter(f, lambda x: regexp_matches(x, '^\\s*(?://|#|/\\*|\\*|<!--|--)')))::DOUBLE"
+
+HYBRID_SQL = f"""WITH q AS (SELECT item_id AS id, text AS txt FROM eval_item WHERE text IS NOT NULL),
+ raw AS (SELECT chunk_id AS id, path, coalesce(chunk_text, '') AS code, coalesce(start_line, 1) AS start_line, coalesce(end_line, start_line, 1) AS end_line, last_modified_at AS modified,
+  regexp_extract(coalesce(chunk_text, ''), '(?m){hybrid.DECLARATION}', 1) AS symbol FROM {CHUNKS}),
+ p AS (SELECT id, concat_ws(' ', path, code) AS txt FROM raw),
+ {_ranked_sql("lx", "l", hybrid.CANDIDATES, None, False, True)}, {_ranked_sql("dn", "d", hybrid.CANDIDATES, hybrid.DENSE_DIM, True, False)},
+ i AS (SELECT id AS query_id, list_distinct({sql_tokens('txt', True)}) AS toks, regexp_matches(txt, '[a-z]_[a-z]|[a-z][A-Z]|\\w\\(') AS nm,
+  regexp_matches(lower(trim(txt, ' ')), '^(how|what|why|when|where|which|explain|describe)\\b') OR contains(txt, '?') AS ask FROM q),
+ w AS (SELECT query_id, toks, 1.5::DOUBLE * (CASE WHEN ask AND NOT nm THEN 1.25 WHEN nm AND NOT ask THEN 0.8 ELSE 1 END)::DOUBLE AS wd,
+  1.0::DOUBLE * (CASE WHEN ask AND NOT nm THEN 0.8 WHEN nm AND NOT ask THEN 1.25 ELSE 1 END)::DOUBLE AS wl FROM i),
+ u AS (SELECT query_id, id, sum(d) AS d, sum(l) AS l FROM (SELECT query_id, id, 1.0::DOUBLE / (30 + rank) AS d, 0::DOUBLE AS l FROM dn UNION ALL SELECT query_id, id, 0, 1.0::DOUBLE / (30 + rank) FROM lx) GROUP BY ALL),
+ f0 AS (SELECT *, lower(path) AS lp, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext, lower(symbol) AS ls, lower(code) AS lc, {_FILLED_SQL} AS f,
+  list_distinct({sql_tokens("regexp_replace(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\\.[^.]+$', ''), '^[_$]+', '')")}) AS ft FROM raw),
+ f1 AS (SELECT *, regexp_extract(lp, '([^/\\\\]*)$', 1) AS last, CASE WHEN len(f) > 0 THEN round({_COMMENT_SQL} / len(f), 6) ELSE 0 END::DOUBLE AS share,
+  round((CASE WHEN {_CODE_SQL} AND NOT {_TEST_SQL} AND NOT {_DOCUMENT_SQL} THEN 0.1::DOUBLE ELSE 0 END) - (CASE WHEN {_VENDOR_SQL} THEN 0.05::DOUBLE ELSE 0 END) - (CASE WHEN {_TEST_SQL} THEN 0.35::DOUBLE ELSE 0 END)
+  - (CASE WHEN {_CONFIG_SQL} THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN {_CODE_SQL} THEN 0.3::DOUBLE ELSE 0 END) - (CASE WHEN {_DOCUMENT_SQL} THEN 0.25::DOUBLE ELSE 0 END), 6) AS path_adjust FROM f0),
+ m AS (SELECT u.query_id, u.id, path, symbol, start_line, end_line, modified, round(d * wd, 9) AS dense, round(l * wl, 9) AS lexical, path_adjust,
+  -(CASE WHEN share >= 0.6 THEN round(0.2::DOUBLE * (share - 0.6::DOUBLE) / (1 - 0.6::DOUBLE), 6) ELSE 0 END)::DOUBLE + 0.0::DOUBLE AS comment,
+  round(0.01::DOUBLE * coalesce(list_sum(list_transform(toks, lambda t: (CASE WHEN contains(ls, t) THEN 2.0 ELSE 0 END + CASE WHEN contains(lp, t) THEN 0.8 ELSE 0 END + CASE WHEN contains(last, t) THEN 0.3 ELSE 0 END
+   + CASE WHEN contains(lc, t) THEN 1.0 ELSE 0 END)::DOUBLE)), 0), 6)::DOUBLE AS text_score,
+  (CASE WHEN ls = '' THEN 0 WHEN list_contains(toks, ls) THEN 0.25 WHEN len(list_filter(toks, lambda t: contains(ls, t))) > 0 THEN 0.15 ELSE 0 END)::DOUBLE AS symbol_boost,
+  (CASE WHEN len(list_intersect(toks, ft)) >= 2 THEN round(len(list_intersect(toks, ft)) * 0.1::DOUBLE, 6) ELSE 0 END)::DOUBLE AS filename_boost,
+  len(list_filter(toks, lambda t: contains(lc, t))) AS hits FROM u JOIN w USING (query_id) JOIN f1 USING (id)),
+ r AS (SELECT *, round(coalesce(0.1::DOUBLE * ((modified - min(modified) OVER g)::DOUBLE / greatest(1, max(modified) OVER g - min(modified) OVER g)), 0), 6)::DOUBLE AS recency FROM m WINDOW g AS (PARTITION BY query_id)),
+ s AS (SELECT *, round(0.0::DOUBLE + dense + lexical + text_score + symbol_boost + filename_boost + path_adjust + comment + recency, 6) AS s0 FROM r),
+ b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY s0 DESC, length(symbol), path, start_line, id) <= 200 THEN round(least(0.6::DOUBLE, 0.3::DOUBLE * hits), 6) ELSE 0 END::DOUBLE AS keyword FROM s),
+ z AS (SELECT *, round(s0 + keyword, 6) AS score FROM b)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(symbol), path, start_line, id) AS rank, id, path, symbol, start_line, end_line,
+ dense, lexical, text_score, symbol_boost, filename_boost, path_adjust, comment, recency, keyword, score FROM z"""
+
+
+@query("hybrid_scored", HYBRID_SQL)
+def hybrid_scored(spark, root):
+    """All candidates of the hybrid search with every part of their score, before the order-dependent end."""
+    return hybrid.scored(_queries(spark, root), _points(spark, root))
+
+
 @query("hybrid_search")
 def hybrid_search(spark, root):
     return hybrid.search(_queries(spark, root), _points(spark, root))
 
 
+@query("hybrid_feedback")
+def hybrid_feedback(spark, root):
+    return hybrid.feedback_search(_queries(spark, root), _points(spark, root))
+
+
 @query("span_budget")
 def span_budget(spark, root):
-    return postprocess.span_budget(cut_lineage(hybrid.scored(_queries(spark, root), _points(spark, root), 30)), budget=1024)
+    return postprocess.span_budget(cut_lineage(hybrid.scored(_queries(spark, root), _points(spark, root)).where(F.col("rank") <= 100)), budget=1024)
 
 
 @query("context_blend")
@@ -220,7 +291,7 @@ def fusion_scaling(spark, root):
 
 
 @query("path_adjustments", f"""WITH c AS (SELECT chunk_id, lower(path) AS p, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM {CHUNKS}),
- f AS (SELECT chunk_id, regexp_matches(p, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\\.\\w+$|\\.(test|spec)\\.\\w+$') AS test, (contains(p,'vendor/') OR contains(p,'third_party/') OR contains(p,'node_modules/') OR contains(p,'/dist/') OR contains(p,'/build/') OR contains(p,'.generated/')) AS vendor,
+ f AS (SELECT chunk_id, regexp_matches(p, '(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\\.\\w+$|\\.(test|spec)\\.\\w+$') AS test, {_VENDOR_SQL.replace('lp', 'p')} AS vendor,
  ext IN ('json','yml','yaml','toml','ini') AS config, ext IN ('py','ts','tsx','js','jsx','go','java','rs','rb','php','cs','cpp','c','hpp','h') AS code, (contains(p,'readme') OR contains(p,'/docs/') OR contains(p,'/documentation/') OR ends_with(p,'.md')) AS doc FROM c)
 SELECT chunk_id AS id, test, vendor, config, doc, round((CASE WHEN code AND NOT test AND NOT doc THEN 0.1::DOUBLE ELSE 0 END) - (CASE WHEN vendor THEN 0.05::DOUBLE ELSE 0 END) - (CASE WHEN test THEN 0.35::DOUBLE ELSE 0 END) - (CASE WHEN config THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN code THEN 0.3::DOUBLE ELSE 0 END) - (CASE WHEN doc THEN 0.25::DOUBLE ELSE 0 END), 6) AS adjustment FROM f""")
 def path_adjustments(spark, root):

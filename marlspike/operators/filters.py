@@ -14,7 +14,7 @@ _DSL = r"\b(lang|language|file|path|under|kind|symbol|ext|not|case|repo)\s*:\s*(
 
 #: Path classes.
 TEST_PATHS = r"(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.\w+$|\.(test|spec)\.\w+$"
-VENDOR_PARTS = ("vendor/", "third_party/", "node_modules/", "/dist/", "/build/", ".generated/")
+VENDOR_PARTS = ("vendor/", "third_party/", "node_modules/", "/dist/", "/build/", ".generated/", "generated/", "autogen/", "target/")
 CONFIG_EXTENSIONS = ("json", "yml", "yaml", "toml", "ini")
 CODE_EXTENSIONS = ("py", "ts", "tsx", "js", "jsx", "go", "java", "rs", "rb", "php", "cs", "cpp", "c", "hpp", "h")
 

@@ -23,6 +23,13 @@ def ranking_quality(judged: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def pass_at_k(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, passed): whether every true id (query_id, id) of a query is among its first k; queries without truth have no row."""
+    top = ranked.where(F.col("rank") <= k).select("query_id", "id", F.lit(1).alias("_hit")).distinct()
+    met = truth.select("query_id", "id").distinct().join(top, ["query_id", "id"], "left")
+    return met.groupBy("query_id").agg((F.count("_hit") == F.count(F.lit(1))).alias("passed"))
+
+
 def latency_summary(values: DataFrame, group: list[str], value: str) -> DataFrame:
     """Exact linear-interpolated percentiles, extremes, mean and sample deviation."""
     quantiles = [F.percentile(value, p).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
