@@ -142,14 +142,28 @@ def _stream(spark, root):
     return feeds.read_events(spark, root, "events.parquet", EVENTS_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_windows")
+def _as_text(df, *columns):
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in columns})
+
+
+@query("stream_windows", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total
+ FROM events GROUP BY ALL""")
 def stream_windows(spark, root):
-    return feeds.drain(feeds.windowed(_stream(spark, root)))
+    return _as_text(feeds.drain_all(feeds.windowed(_stream(spark, root)), ["start", "event_type"]), "start")
+
+
+@query("stream_sliding", """SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL '15 minutes', ts) - to_minutes(15 * i) AS s
+ FROM events, (SELECT unnest([0, 1, 2, 3]) AS i)) GROUP BY ALL""")
+def stream_sliding(spark, root):
+    return _as_text(feeds.drain_all(feeds.sliding(_stream(spark, root)), ["start", "event_type"]), "start")
 
 
-@query("stream_debounce")
+@query("stream_debounce", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '10 minutes' THEN 0 ELSE 1 END AS b FROM events WHERE user_id IS NOT NULL),
+ s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, count(*) AS changes, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last FROM s GROUP BY user_id, n""")
 def stream_debounce(spark, root):
-    return feeds.drain(feeds.debounced(_stream(spark, root).where("user_id is not null"), "user_id"))
+    """Bursts of a user, those still open at the end too: the closed ones of the stream and, of what lies past its watermark, the rest."""
+    return _as_text(feeds.bursts(_stream(spark, root).where("user_id is not null"), table(spark, root, "events").where("user_id is not null"), "user_id"), "first", "last")
 
 
 @query("stream_first_seen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY ALL")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, tokens
-from ..session import cut_lineage, rounded
+from ..session import cut_lineage, rounded, spread_rows
 
 #: Query vectors, and query texts, that go to the executors at a time; more are taken block by block.
 BROADCAST_QUERIES, SCAN_QUERIES = 20_000, 2_000
@@ -75,7 +75,7 @@ def _dense_block(q: pd.DataFrame, corpus: DataFrame, k: int, id_col: str, vec_co
             frame = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": name[order].reshape(-1), "score": np.take_along_axis(s.T, order, 1).reshape(-1)})
             yield frame[frame["query_id"] != frame["id"]]
 
-    c = corpus.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    c = spread_rows(corpus.where(F.col(id_col).isNotNull() & (F.size(vec_col) == dim)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")))
     return c.mapInPandas(run, schema)
 
 
@@ -112,7 +112,7 @@ def lexical_scan(queries: DataFrame, corpus: DataFrame, k: int, dim: int | None
     asked = queries.schema["id"].dataType.simpleString()
     schema = f"query_id {asked}, id {kind}, score double"
     picked = queries.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
-    rows = corpus.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
+    rows = spread_rows(corpus.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text"))
     found = []
     for block in query_blocks(picked, "id", block_rows):
         q = block.toPandas()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import queries as rules
 from ..functions import scores, tokens
 from ..operators import expand, filters, postprocess, retrieve
-from ..session import cut_lineage, rounded
+from ..session import cut_lineage, rounded, spread_rows
 
 CANDIDATES, DENSE_DIM = 100, 256
 DENSE_WEIGHT, LEXICAL_WEIGHT, TEXT_WEIGHT = 1.5, 1.0, 0.01
@@ -56,9 +56,9 @@ def symbol_boost(query_tokens: Column, symbol: Column) -> Column:
     return F.when(symbol == "", 0.0).when(equal, SYMBOL_EQUAL).when(part, SYMBOL_PART).otherwise(0.0)
 
 
-def filename_boost(query_tokens: Column, path: Column) -> Column:
-    """FILENAME for each query token in the file's name, if there are at least two."""
-    n = F.size(F.array_intersect(query_tokens, tokens.filename_tokens(path)))
+def filename_boost(query_tokens: Column, name_tokens: Column) -> Column:
+    """FILENAME for each query token among those of the file's name, if there are at least two."""
+    n = F.size(F.array_intersect(query_tokens, name_tokens))
     return F.when(n >= 2, n * FILENAME).otherwise(0.0)
 
 
@@ -94,13 +94,21 @@ def scored(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, dense: Da
         "id", "path", "symbol", "start_line", "end_line", "modified", rounded(path_adjustment(F.col("path"))).alias("path_adjust"),
         (-rules.comment_penalty(rules.comment_share(F.col("code"))) + 0.0).alias("comment"), *scores.lexical_fields(F.col("symbol"), F.col("path"), F.col("code")),
     )
-    t = F.col("tokens")
-    parts = found.join(fields, "id").join(toks, "query_id").select(
-        "query_id", "id", "path", "symbol", "start_line", "end_line", "modified", "dense", "lexical", "path_adjust", "comment",
-        rounded(TEXT_WEIGHT * scores.lexical_score(t)).alias("text_score"),
-        symbol_boost(t, F.col("_symbol")).alias("symbol_boost"), rounded(filename_boost(t, F.col("path"))).alias("filename_boost"),
-        F.size(F.filter(t, lambda x: F.contains("_code", x))).alias("_hits"),
-    )
+    # a point meets all its queries at once, so its text is not repeated for each; the list is bounded by the number of queries
+    asked = found.join(toks, "query_id").groupBy("id").agg(F.collect_list(F.struct("query_id", "dense", "lexical", "tokens")).alias("_asked"))
+
+    def for_query(x: Column) -> Column:
+        t = x["tokens"]
+        return F.struct(
+            x["query_id"].alias("query_id"), x["dense"].alias("dense"), x["lexical"].alias("lexical"),
+            rounded(TEXT_WEIGHT * scores.lexical_score(t)).alias("text_score"),
+            symbol_boost(t, F.col("_symbol")).alias("symbol_boost"), rounded(filename_boost(t, F.col("_filename"))).alias("filename_boost"),
+            F.size(F.filter(t, lambda w: F.contains("_code", w))).alias("_hits"),
+        )
+
+    met = spread_rows(fields.withColumn("_filename", tokens.filename_tokens(F.col("path"))).join(asked, "id"))
+    whole = ["id", "path", "symbol", "start_line", "end_line", "modified", "path_adjust", "comment"]
+    parts = cut_lineage(met.select(*whole, F.explode(F.transform("_asked", for_query)).alias("_x")).select(*whole, "_x.*"))
     span = parts.groupBy("query_id").agg(F.min("modified").alias("_lo"), F.max("modified").alias("_hi"))
     age = (F.col("modified") - F.col("_lo")) / F.greatest(F.lit(1), F.col("_hi") - F.col("_lo"))
     recent = parts.join(span, "query_id").withColumn("recency", rounded(F.coalesce(RECENCY * age, F.lit(0.0))))

@@ -19,18 +19,36 @@ def build_session(app: str = "marlspike", master: str | None = None, conf: dict[
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | (conf or {})
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, or one of our own where none is set (tests)."""
+    """The folder for checkpoints: the one the cluster names; on a local master, as in tests, one of our own where none is set.
+
+    On a cluster a folder of this machine would be no use to the others, so a missing setting is an error there.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlspike-ckpt-"))
     return jsc.getCheckpointDir().get()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors of a session on which it is not installed."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="marlspike-")) / package.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written copy.
 
@@ -40,6 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for steps that take much time for few bytes.
+
+    A table of more partitions than cores, as any large one is, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def current_rows(df: DataFrame, key: str, columns: list[str], order: str = "ingested_at") -> DataFrame:
     """One row per ``key``: the one with the greatest ``order``; ties on it are identical rows.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +29,56 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("_w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).select(F.col("_w.start").alias("start"), "event_type", "n", "total")
 
 
-def drain(stream: DataFrame, out: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns the rows written: files in the shared checkpoint folder."""
-    spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    where = tempfile.mkdtemp(prefix="stream-") if out is None and not base else out or f"{base}/stream-{spark.sql('select uuid()').first()[0]}"
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is and returns the rows written: files in the shared checkpoint folder.
+
+    In ``append`` mode a group appears once its watermark has passed, so those still open at the end of the feed are missing;
+    ``drain_all`` has them.
+    """
+    where = _folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/rows")
+
+
+def drain_all(stream: DataFrame, key: list[str]) -> DataFrame:
+    """Runs an aggregation over what there is and returns the last state of every group, open ones too.
+
+    Each micro-batch writes the groups that it changed; of a group's versions the one of the last batch counts.
+    """
+    where = _folder(stream.sparkSession)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{where}/rows/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rest = [c for c in stream.columns if c not in key]
+    schema = stream.select("*", F.lit(0).cast("bigint").alias("_batch")).schema
+    rows = stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{where}/rows")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("_v")).select(*key, "_v.*")
+
+
+def bursts(stream: DataFrame, feed: DataFrame, key: str, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """``debounced`` with the bursts that are still open when the stream has read ``feed`` up.
+
+    Session windows can only be appended, once they are closed. The open ones are made from those rows of the feed that come
+    after a key's last closed burst; both parts together hold every row once.
+    """
+    closed = drain(debounced(stream, key, gap, late))
+    ends = closed.groupBy(key).agg(F.max("last").alias("_end"))
+    rows = feed.withColumn("ts", F.col("ts").cast("timestamp")).join(ends, key, "left").where(F.col("_end").isNull() | (F.col("ts") > F.col("_end")))
+    still = rows.groupBy(F.session_window("ts", gap).alias("_w"), key).agg(F.count(F.lit(1)).alias("changes"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("_w")
+    return closed.unionByName(still)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/stream-{spark.sql('select uuid()').first()[0]}"
+
+
+def sliding(events: DataFrame, size: str = "1 hour", step: str = "15 minutes", late: str = "2 hours") -> DataFrame:
+    """(start, event_type, n): sliding windows by event time."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("_w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("_w.start").alias("start"), "event_type", "n")
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
