@@ -46,11 +46,13 @@ def point_ids(spark, root):
     return c.select("id", tokens.point_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("chunk_text")).alias("point_id"))
 
 
-@query("call_extraction", f"""SELECT chunk_id AS id, len(c)::INT AS n, array_to_string(list_sort(c), ',') AS names FROM (SELECT chunk_id, list_distinct(list_filter(regexp_extract_all(coalesce(chunk_text, ''), '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1), lambda x: x NOT IN ('if','for','while','switch','return','new','catch','func','def','class','match'))) AS c FROM {CHUNKS})
- WHERE len(c) <= 200""")
+@query("call_extraction", f"""WITH c AS (SELECT chunk_id, list_filter(regexp_extract_all(coalesce(chunk_text, ''), '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1),
+  lambda x: x NOT IN ('if','for','while','switch','return','new','catch','func','def','class','match')) AS l FROM {CHUNKS}),
+ d AS (SELECT chunk_id, list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 200) AS c FROM c)
+SELECT chunk_id AS id, len(c)::INT AS n, array_to_string(list_sort(c), ',') AS names FROM d""")
 def call_extraction(spark, root):
     c = extract.calls(F.col("chunk_text"))
-    return chunks(spark, root, "chunk_text").select("id", F.size(c).alias("n"), F.array_join(F.array_sort(c), ",").alias("names")).where("n <= 200")
+    return chunks(spark, root, "chunk_text").select("id", F.size(c).alias("n"), F.array_join(F.array_sort(c), ",").alias("names"))
 
 
 def _pattern_sql(patterns_of: dict[str, str], out: str) -> str:
@@ -150,18 +152,20 @@ def filename_tokens(spark, root):
     return files(spark, root, "path").select("file_id", F.array_join(F.array_sort(tokens.filename_tokens(F.col("path"))), ",").alias("parts"))
 
 
-@query("highlights", "SELECT doc_id, regexp_replace(regexp_replace(text, 'undocumented', '<<\\0>>', 'gi'), 'format', '<<\\0>>', 'gi') AS marked FROM documents WHERE text IS NOT NULL AND contains(text, 'format')")
+@query("highlights", "SELECT doc_id, regexp_replace(regexp_replace(text, 'undocumented', '<<\\0>>', 'gi'), 'format', '<<\\0>>', 'gi') AS marked FROM documents WHERE text IS NOT NULL")
 def highlights(spark, root):
-    return table(spark, root, "documents").where(F.contains("text", F.lit("format"))).select("doc_id", tokens.highlight(F.col("text"), ["format", "undocumented"]).alias("marked"))
+    return table(spark, root, "documents").where("text is not null").select("doc_id", tokens.highlight(F.col("text"), ["format", "undocumented"]).alias("marked"))
 
 
-@query("symbol_callers", f"""WITH y AS (SELECT DISTINCT path AS symbol FROM {SYMBOLS} WHERE path IS NOT NULL AND path <> ''), p AS (SELECT symbol, string_split(symbol, '.') AS s FROM y),
- v AS (SELECT symbol, symbol AS callee, 1 AS strategy FROM p UNION ALL SELECT symbol, s[-1], 2 FROM p WHERE len(s) > 1 UNION ALL SELECT symbol, s[1], 2 FROM p WHERE len(s) > 1),
+@query("symbol_callers", f"""WITH y AS (SELECT DISTINCT path AS symbol FROM {SYMBOLS} WHERE path IS NOT NULL AND path <> ''),
+ p AS (SELECT symbol, string_split(symbol, '.') AS s, string_split(symbol, '::') AS c, string_split(symbol, '->') AS w FROM y),
+ v AS (SELECT symbol, symbol AS callee, 1 AS strategy FROM p UNION ALL SELECT symbol, s[-1], 2 FROM p WHERE len(s) > 1 UNION ALL SELECT symbol, s[1], 2 FROM p WHERE len(s) > 1
+  UNION ALL SELECT symbol, c[-1], 2 FROM p WHERE len(c) > 1 UNION ALL SELECT symbol, c[-2], 2 FROM p WHERE len(c) > 1 UNION ALL SELECT symbol, w[-1], 2 FROM p WHERE len(w) > 1),
  e AS (SELECT DISTINCT chunk_id AS id, unnest(calls) AS callee FROM {CHUNKS})
-SELECT symbol, id, min(strategy)::INT AS strategy FROM e JOIN v USING (callee) WHERE NOT contains(symbol, '::') AND NOT contains(symbol, '->') GROUP BY ALL""")
+SELECT symbol, id, min(strategy)::INT AS strategy FROM e JOIN v USING (callee) GROUP BY ALL""")
 def symbol_callers(spark, root):
     y = symbols(spark, root, "path").where("path is not null and path <> ''").select(F.col("path").alias("symbol")).distinct()
-    return graph.callers(chunks(spark, root, "calls"), y.where("not contains(symbol, '::') and not contains(symbol, '->')"))
+    return graph.callers(chunks(spark, root, "calls"), y)
 
 
 @query("symbol_definitions", f"""WITH w AS (SELECT DISTINCT name AS wanted FROM {SYMBOLS} WHERE name IS NOT NULL), b AS (SELECT wanted, symbol_id, 1 AS s FROM {SYMBOLS} y JOIN w ON y.path = w.wanted UNION ALL SELECT wanted, symbol_id, 2 FROM {SYMBOLS} y JOIN w ON y.name = w.wanted),
@@ -184,11 +188,21 @@ def symbols_by_file(spark, root):
     return graph.by_file(symbols(spark, root, "file_id", "name", "complexity"))
 
 
-@query("simhash_distance", f"SELECT a.sig_id AS sig_a, b.sig_id AS sig_b, bit_count(xor(a.simhash, b.simhash))::INT AS bits FROM {SIGNATURES} a JOIN {SIGNATURES} b ON a.chunk_id = b.chunk_id AND a.sig_id < b.sig_id WHERE a.simhash IS NOT NULL AND b.simhash IS NOT NULL")
-def simhash_distance(spark, root):
-    s = current_rows(table(spark, root, "pattern_signature"), "sig_id", ["chunk_id", "simhash"]).where("simhash is not null")
+def _signature_pairs(spark, root, by, *columns):
+    s = current_rows(table(spark, root, "pattern_signature"), "sig_id", [*by, *columns])
     a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.sig_id") < F.col("b.sig_id"))).select(F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), tokens.hamming(F.col("a.simhash"), F.col("b.simhash")).alias("bits"))
+    same = (F.col("a.sig_id") < F.col("b.sig_id")) & (F.col(f"a.{by[0]}") == F.col(f"b.{by[0]}"))
+    for c in by[1:]:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, same)
+
+
+@query("simhash_distance", f"""SELECT a.sig_id AS sig_a, b.sig_id AS sig_b, bit_count(xor(a.simhash, b.simhash))::INT AS bits FROM {SIGNATURES} a JOIN {SIGNATURES} b
+ ON a.repo = b.repo AND a.language = b.language AND a.control_flow = b.control_flow AND a.sig_id < b.sig_id WHERE a.simhash IS NOT NULL AND b.simhash IS NOT NULL""")
+def simhash_distance(spark, root):
+    """Signatures of one repository, language and control flow."""
+    p = _signature_pairs(spark, root, ["repo", "language", "control_flow"], "simhash").where("a.simhash is not null and b.simhash is not null")
+    return p.select(F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), tokens.hamming(F.col("a.simhash"), F.col("b.simhash")).alias("bits"))
 
 
 def _features(spark, root):
@@ -222,12 +236,12 @@ def statement_counts(spark, root):
     return chunks(spark, root, "chunk_text").select("id", *patterns.statement_counts(F.col("chunk_text")))
 
 
-@query("flow_likeness", f"""WITH s AS (SELECT sig_id, chunk_id, control_flow AS f FROM {SIGNATURES}), p AS (SELECT a.sig_id AS sig_a, b.sig_id AS sig_b, a.f AS x, b.f AS y FROM s a JOIN s b ON a.chunk_id = b.chunk_id AND a.sig_id < b.sig_id)
+@query("flow_likeness", f"""WITH s AS (SELECT sig_id, repo, language, control_flow AS f FROM {SIGNATURES}), p AS (SELECT a.sig_id AS sig_a, b.sig_id AS sig_b, a.f AS x, b.f AS y FROM s a JOIN s b ON a.repo = b.repo AND a.language = b.language AND a.sig_id < b.sig_id)
 SELECT sig_a, sig_b, CASE WHEN coalesce(x, '') = '' OR coalesce(y, '') = '' THEN 0.4 ELSE round(len(list_intersect(list_distinct(string_split(x, '|')), list_distinct(string_split(y, '|'))))::DOUBLE / len(list_distinct(list_concat(string_split(x, '|'), string_split(y, '|')))), 6) END::DOUBLE AS likeness FROM p""")
 def flow_likeness(spark, root):
-    s = current_rows(table(spark, root, "pattern_signature"), "sig_id", ["chunk_id", "control_flow"])
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.sig_id") < F.col("b.sig_id"))).select(F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), patterns.flow_likeness(F.col("a.control_flow"), F.col("b.control_flow")).alias("likeness"))
+    """Signatures of one repository and language."""
+    p = _signature_pairs(spark, root, ["repo", "language"], "control_flow")
+    return p.select(F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), patterns.flow_likeness(F.col("a.control_flow"), F.col("b.control_flow")).alias("likeness"))
 
 
 @query("hyperplane_buckets")

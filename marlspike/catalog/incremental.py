@@ -32,12 +32,6 @@ def delta_counts(spark, root):
     return incremental.classify(*_manifests(spark, root)).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("move_detection", OLD_NEW + """, g AS (SELECT path, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY path) AS r FROM c WHERE op = 'deleted'), k AS (SELECT path, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY path) AS r FROM c WHERE op = 'created')
-SELECT g.path AS old_path, k.path AS new_path, g.file_hash AS file_hash FROM g JOIN k USING (file_hash, r)""")
-def move_detection(spark, root):
-    return incremental.moves(incremental.classify(*_manifests(spark, root)))
-
-
 @query("prune_points", f"WITH m AS (SELECT DISTINCT path, file_hash FROM {FILES}) SELECT chunk_id AS id FROM {CHUNKS} c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.path = c.path AND m.file_hash = c.file_hash)")
 def prune_points(spark, root):
     return incremental.prune(chunks(spark, root, "path", "file_hash"), files(spark, root, "path", "file_hash")).select("id")

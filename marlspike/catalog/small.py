@@ -57,10 +57,12 @@ def comment_penalties(spark, root):
     return chunks(spark, root, "chunk_text").select("id", share.alias("share")).withColumn("penalty", rules.comment_penalty(F.col("share")))
 
 
-@query("symbol_extents", f"SELECT repo AS path, name AS symbol, min(start_line) AS start_line, max(end_line) AS end_line FROM {SYMBOLS} WHERE name IS NOT NULL AND repo IS NOT NULL GROUP BY ALL")
+@query("symbol_extents", f"""SELECT f.path AS path, y.name AS symbol, min(y.start_line) AS start_line, max(y.end_line) AS end_line FROM {SYMBOLS} y JOIN {FILES} f ON y.file_id = f.file_id
+ WHERE y.name IS NOT NULL AND f.path IS NOT NULL GROUP BY ALL""")
 def symbol_extents(spark, root):
-    y = symbols(spark, root, "repo", "name", "start_line", "end_line").where("name is not null and repo is not null")
-    return postprocess.symbol_extent(y.select(F.col("repo").alias("path"), F.col("name").alias("symbol"), "start_line", "end_line"))
+    y = symbols(spark, root, "file_id", "name", "start_line", "end_line").where("name is not null")
+    f = files(spark, root, "path").where("path is not null")
+    return postprocess.symbol_extent(y.join(f, "file_id").select("path", F.col("name").alias("symbol"), "start_line", "end_line"))
 
 
 @query("related_paths", f"""WITH f AS (SELECT DISTINCT repo, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM {FILES} WHERE repo IS NOT NULL AND path IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY repo, d ORDER BY path) AS r, count(*) OVER (PARTITION BY repo, d) AS n FROM f)

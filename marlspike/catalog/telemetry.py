@@ -88,9 +88,52 @@ def ab_outcome(spark, root):
     return metrics.experiment_outcome(runs.withColumn("success", F.col("success").cast("int")))
 
 
-@query("mean_interval", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(avg(value) - 1.96::DOUBLE * stddev_samp(value) / sqrt(count(value)), 6) AS low, round(avg(value) + 1.96::DOUBLE * stddev_samp(value) / sqrt(count(value)), 6) AS high FROM events GROUP BY event_type")
+_T_SQL = "CASE " + " ".join(f"WHEN n - 1 <= {df} THEN {t}" for df, t in metrics.T_95.items()) + " ELSE 1.96 END::DOUBLE"
+
+
+@query("mean_interval", f"""WITH s AS (SELECT user_id, event_type, count(value) AS n, avg(value) AS m, stddev_samp(value) AS d FROM events GROUP BY ALL)
+SELECT user_id, event_type, n, round(m, 6) AS mean, round(m - {_T_SQL} * d / sqrt(n), 6) AS low, round(m + {_T_SQL} * d / sqrt(n), 6) AS high FROM s""")
 def mean_interval(spark, root):
-    return metrics.mean_interval(table(spark, root, "events"), ["event_type"], "value")
+    return metrics.mean_interval(table(spark, root, "events"), ["user_id", "event_type"], "value")
+
+
+@query("knob_significance", f"""WITH s AS (SELECT event_type, {VARIANT} AS v, count(value) AS n, avg(value) AS m, stddev_samp(value) AS d FROM events GROUP BY ALL),
+ i AS (SELECT *, m - {_T_SQL} * d / sqrt(n) AS lo, m + {_T_SQL} * d / sqrt(n) AS hi FROM s)
+SELECT a.event_type, round(round(b.m, 6) - round(a.m, 6), 6) AS effect, round(a.hi, 6) < round(b.lo, 6) OR round(b.hi, 6) < round(a.lo, 6) AS significant FROM i a JOIN i b ON a.event_type = b.event_type AND a.v = 0 AND b.v = 1""")
+def knob_significance(spark, root):
+    runs = table(spark, root, "events").select("event_type", metrics.variant(F.col("user_id").cast("string"), 2).alias("variant"), "value")
+    return metrics.significance(runs, ["event_type"], "variant", "value")
+
+
+@query("report_deltas", """WITH m AS (SELECT event_type, avg(CASE WHEN hour(ts) < 12 THEN value END) AS a, avg(CASE WHEN hour(ts) >= 12 THEN value END) AS b FROM events GROUP BY event_type)
+SELECT event_type, round(b - a, 6) AS delta, CASE WHEN round(b - a, 6) > 0.05 * a THEN 'better' WHEN round(b - a, 6) < -0.05 * a THEN 'worse' ELSE 'same' END AS verdict FROM m""")
+def report_deltas(spark, root):
+    """Two reports, of mornings and afternoons, compared metric by metric."""
+    e = table(spark, root, "events")
+    half = lambda c: e.where(c).groupBy("event_type").agg(F.avg("value").alias("value"))
+    return metrics.report_deltas(half(F.hour("ts") < 12), half(F.hour("ts") >= 12), "event_type", "value")
+
+
+@query("call_metrics", """WITH d AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY ts, event_id) AS r FROM events)
+SELECT user_id, count(*) AS calls, sum(CASE WHEN r > 1 THEN 1 ELSE 0 END)::BIGINT AS repeated, round(avg(value), 6) AS mean FROM d GROUP BY user_id""")
+def call_metrics(spark, root):
+    """Calls of a session, and how many repeat an earlier one with the same arguments."""
+    e = table(spark, root, "events")
+    per = e.groupBy("user_id", "event_type", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+    return per.groupBy("user_id").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("repeated"), rounded(F.sum("s") / F.sum("n")).alias("mean"))
+
+
+@query("variant_statistics", f"""SELECT {VARIANT}::BIGINT AS variant, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS error_rate
+ FROM events GROUP BY 1""")
+def variant_statistics(spark, root):
+    e = table(spark, root, "events")
+    failed = F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)
+    return e.groupBy(metrics.variant(F.col("user_id").cast("string"), 2).alias("variant")).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("value")).alias("mean"), rounded(F.stddev_pop("value")).alias("deviation"), rounded(F.avg(failed)).alias("error_rate"))
+
+
+@query("usage_cube", "SELECT event_type, (user_id % 3) AS part, count(*) AS n FROM events GROUP BY CUBE (event_type, (user_id % 3))")
+def usage_cube(spark, root):
+    return table(spark, root, "events").withColumn("part", F.col("user_id") % 3).cube("event_type", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("metric_summary", "SELECT metric, round(avg(v), 4) AS mean, round(min(v), 4) AS least, round(max(v), 4) AS most, round(stddev_samp(v), 4) AS deviation FROM (SELECT 'quantity' AS metric, l_quantity AS v FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) GROUP BY metric")
@@ -123,11 +166,11 @@ def usage_rollup(spark, root):
 
 
 @query("asof_previous_error", """WITH m AS (SELECT event_id, user_id, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM events WHERE user_id IS NOT NULL)
-SELECT event_id, e AS error_id FROM m WHERE e IS NOT NULL""")
+SELECT event_id, e AS error_id FROM m""")
 def asof_previous_error(spark, root):
-    """As-of join: the last error before each event of a user, in time order (ids rise with time)."""
+    """Left as-of join: the last error before each event of a user, null without one, in time order (ids rise with time)."""
     e = table(spark, root, "events").where("user_id is not null")
-    return joins.last_before(e, "user_id", "ts", "event_id", F.col("event_type") == "error").select("event_id", F.col("last").alias("error_id")).where("error_id is not null")
+    return joins.last_before(e, "user_id", "ts", "event_id", F.col("event_type") == "error").select("event_id", F.col("last").alias("error_id"))
 
 
 @query("spans_with_nations", "SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")

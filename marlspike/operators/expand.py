@@ -36,3 +36,12 @@ def intent(text: Column) -> Column:
     has_name = text.rlike(r"[a-z]_[a-z]|[a-z][A-Z]|\w\(")
     asks = F.lower(F.trim(text)).rlike(r"^(how|what|why|when|where|which|explain|describe)\b") | F.contains(text, F.lit("?"))
     return F.when(has_name & ~asks, "identifier").when(asks & ~has_name, "conceptual").otherwise("mixed")
+
+
+def learned(pairs: DataFrame, most: int = 5) -> DataFrame:
+    """(token, expansion, weight): what stands with a token, at most ``most``, weighed by its share of all that does."""
+    n = pairs.where("token <> expansion").groupBy("token", "expansion").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("token").agg(F.sum("n").alias("_t"))
+    w = Window.partitionBy("token").orderBy(F.desc("n"), "expansion")
+    best = n.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
+    return best.join(total, "token").select("token", "expansion", F.round(F.col("n") / F.col("_t"), 6).alias("weight"))

@@ -107,3 +107,26 @@ def code_signal(text: Column) -> Column:
 def patch_files(patch: Column) -> Column:
     """Sorted distinct paths that a unified diff touches."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(patch, F.lit("")), F.lit(r"(?m)^\+\+\+ b/(\S+)"), 1)))
+
+
+def patch_functions(patch: Column) -> Column:
+    """Sorted distinct functions that a unified diff names in its hunk heads or adds."""
+    word = r"(?:def|func|function|fn)[ \t]+(\w+)"
+    heads = F.regexp_extract_all(F.coalesce(patch, F.lit("")), F.lit(r"(?m)^@@[^@]*@@.*?\b" + word), 1)
+    added = F.regexp_extract_all(F.coalesce(patch, F.lit("")), F.lit(r"(?m)^\+\s*(?:async[ \t]+|pub[ \t]+)?" + word), 1)
+    return F.array_sort(F.array_distinct(F.concat(heads, added)))
+
+
+def symbol_hashes(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, key, hash): a symbol's key of kind, name and first line, and the hash of its lines; the join is by file."""
+    lines = files.select("file_id", F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\n", -1).alias("_l"))
+    y = symbols.join(lines, "file_id")
+    own = F.slice("_l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    key = F.concat_ws("_", F.coalesce("kind", F.lit("")), F.coalesce("name", F.lit("")), F.col("start_line").cast("string"))
+    return y.select("symbol_id", key.alias("key"), F.sha1(F.array_join(own, "\n")).alias("hash"))
+
+
+def embed_once(texts: DataFrame, text: str, embed) -> DataFrame:
+    """(text, uses, vector): every distinct text is embedded once by ``embed``, a function of a column such as a pandas UDF."""
+    once = texts.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("uses"))
+    return once.select("text", "uses", embed(F.col("text")).alias("vector"))

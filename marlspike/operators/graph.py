@@ -89,3 +89,53 @@ def by_file(symbols: DataFrame, top: int = 3) -> DataFrame:
     best = symbols.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top)
     listed = best.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("_rn", "name"))).alias("_l")).select("file_id", F.array_join(F.col("_l")["name"], ",").alias("top_symbols"))
     return symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols")).join(listed, "file_id")
+
+
+def callees(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, callee): what the first chunk (least id) that declares a symbol calls; ``chunks``: id, symbol, calls."""
+    first = chunks.where("symbol <> ''").join(symbols.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol").agg(F.min_by("calls", "id").alias("calls"))
+    return first.select("symbol", F.explode(F.array_distinct(F.coalesce("calls", F.array().cast("array<string>")))).alias("callee"))
+
+
+def importers(chunks: DataFrame, modules: DataFrame) -> DataFrame:
+    """(module, id, strategy): chunks that import a module: exactly (1), by its last part (2), or as part of a longer name (3).
+
+    ``chunks``: id, imports. All three are equi-joins on the parts of the imported name; a chunk counts by its best.
+    """
+    last = lambda c: F.element_at(F.split(c, r"[./:]+"), -1)
+    e = chunks.select("id", F.explode(F.array_distinct(F.coalesce("imports", F.array().cast("array<string>")))).alias("i"))
+    m = modules.select("module").distinct()
+    exact = e.join(m, F.col("i") == F.col("module")).select("module", "id", F.lit(1).alias("s"))
+    base = e.withColumn("b", last(F.col("i"))).join(m.withColumn("b", last(F.col("module"))), "b").select("module", "id", F.lit(2).alias("s"))
+    parts = e.select("id", F.explode(F.array_distinct(F.split("i", r"[./:]+"))).alias("p"))
+    inside = parts.join(m, F.col("p") == F.col("module")).select("module", "id", F.lit(3).alias("s"))
+    return exact.unionByName(base).unionByName(inside).groupBy("module", "id").agg(F.min("s").cast("int").alias("strategy"))
+
+
+def reachable(edges: DataFrame, hops: int) -> DataFrame:
+    """(start, node, hops): what can be reached from each node in at most ``hops`` steps, with the fewest of them. ``edges``: a, b."""
+    once = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    found = once.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("hops"))
+    front = found
+    for h in range(2, hops + 1):
+        step = front.join(once.withColumnsRenamed({"a": "node", "b": "_next"}), "node").select("start", F.col("_next").alias("node")).distinct()
+        front = step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(h))
+        found = found.unionByName(front)
+    return found
+
+
+#: Path globs of the preset searches.
+PRESETS = {"tests": ("*/tests/*", "tests/*", "*test_*", "*_test.*", "*.spec.*", "*.test.*"), "config": ("*.yml", "*.yaml", "*.json", "*.toml", "*.ini", "*config*")}
+
+
+def preset_points(points: DataFrame, preset: str) -> DataFrame:
+    """Points that a preset search runs over."""
+    from .filters import where_filters
+
+    return where_filters(points, {"path_glob": list(PRESETS[preset])})
+
+
+def settings_drift(settings: DataFrame, key: str) -> DataFrame:
+    """(key, fingerprint): a hash over each row's settings; a changed one means that the index must be made anew."""
+    rest = sorted(c for c in settings.columns if c != key)
+    return settings.select(key, F.substring(F.sha2(F.to_json(F.struct(*rest)), 256), 1, 16).alias("fingerprint"))

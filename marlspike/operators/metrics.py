@@ -72,3 +72,20 @@ def experiment_outcome(runs: DataFrame, least_runs: int = 50, margin: float = 0.
     ranked = per.withColumn("_n", F.lead("_r").over(w)).withColumn("_first", F.row_number().over(w)).withColumn("_least", F.min("runs").over(every))
     win = (F.col("_first") == 1) & (F.col("_r") - F.col("_n") > margin) & (F.col("_least") >= least_runs)
     return ranked.select("variant", "runs", rounded("_r").alias("success_rate"), rounded("_l").alias("avg_latency"), F.coalesce(win, F.lit(False)).alias("winner"))
+
+
+def significance(runs: DataFrame, group: list[str], variant_col: str, value: str) -> DataFrame:
+    """(group, effect, significant): variant 1 against variant 0; significant where their 95 % intervals do not meet."""
+    i = mean_interval(runs, [*group, variant_col], value)
+    side = lambda v, p: i.where(F.col(variant_col) == v).select(*group, *[F.col(c).alias(f"{p}_{c}") for c in ("mean", "low", "high")])
+    both = side(0, "a").join(side(1, "b"), group)
+    apart = (F.col("a_high") < F.col("b_low")) | (F.col("b_high") < F.col("a_low"))
+    return both.select(*group, rounded(F.col("b_mean") - F.col("a_mean")).alias("effect"), apart.alias("significant"))
+
+
+def report_deltas(before: DataFrame, after: DataFrame, key: str, value: str, margin: float = 0.05) -> DataFrame:
+    """(key, delta, verdict): how a metric moved between two reports; a move within the margin counts as the same."""
+    met = before.select(key, F.col(value).alias("_a")).join(after.select(key, F.col(value).alias("_b")), key)
+    d = met.withColumn("delta", rounded(F.col("_b") - F.col("_a")))
+    verdict = F.when(F.col("delta") > margin * F.col("_a"), "better").when(F.col("delta") < -margin * F.col("_a"), "worse").otherwise("same")
+    return d.select(key, "delta", verdict.alias("verdict"))

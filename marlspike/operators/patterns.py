@@ -63,3 +63,32 @@ def common_features(features: DataFrame, groups: DataFrame, least: int = 3) -> D
 def flow_likeness(a: Column, b: Column, missing: float = 0.4) -> Column:
     """Overlap of two control-flow sequences; a fixed value where one is missing."""
     return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), missing).otherwise(rounded(tokens.jaccard(F.array_distinct(F.split(a, r"\|")), F.array_distinct(F.split(b, r"\|")))))
+
+
+def simhash64(features: DataFrame) -> DataFrame:
+    """(id, simhash): 64 bits of the features' md5, each the sign of the sum of weights with and without that bit."""
+    half = lambda at: F.conv(F.substring(F.md5("feature"), at, 8), 16, 10).cast("bigint")
+    signed = [F.sum(F.when(F.shiftright(c, b).bitwiseAND(F.lit(1)) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{i}") for i, (c, b) in enumerate([(F.col("_hi"), b) for b in range(31, -1, -1)] + [(F.col("_lo"), b) for b in range(31, -1, -1)])]
+    summed = features.select("id", "weight", half(1).alias("_hi"), half(9).alias("_lo")).groupBy("id").agg(*signed)
+    bits = F.concat(*[F.when(F.col(f"b{i}") > 0, "1").otherwise("0") for i in range(64)])
+    return summed.select("id", F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0")).alias("simhash"))
+
+
+def similar_to(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10, tables: int = 10, bits: int = 8) -> DataFrame:
+    """(query_id, id, score, rank): the best k by exact cosine among those that share a hyperplane bucket with a query."""
+    from .retrieve import top_k
+
+    buckets = hyperplane_buckets(vectors, dim, tables, bits)
+    wanted = buckets.join(queries.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "table", "bucket")
+    pairs = buckets.join(wanted, ["table", "bucket"]).where("id <> query_id").select("query_id", "id").distinct()
+    a, b = vectors.select(F.col("id").alias("query_id"), F.col("vec").alias("_a")), vectors.select("id", F.col("vec").alias("_b"))
+    scored = pairs.join(a, "query_id").join(b, "id").select("query_id", "id", rounded(tokens.cosine(F.col("_a"), F.col("_b"))).alias("score"))
+    return top_k(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+
+
+def prune_overlap(candidates: DataFrame, share: float = 0.6) -> DataFrame:
+    """``candidates`` (query_id, id, score, query_features, features) with ``overlap``, the share of the query's features held, and
+    ``final``, ``share`` of it and the rest of the score."""
+    held = F.size(F.array_intersect("query_features", "features"))
+    overlap = F.when(F.size("query_features") > 0, held / F.size("query_features")).otherwise(0.0)
+    return candidates.withColumn("overlap", rounded(overlap)).withColumn("final", rounded(share * F.col("overlap") + (1 - share) * F.col("score")))
