@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +46,11 @@ def token_chunks(files: DataFrame, id_col: str, text_col: str, tokens: int = 16,
                 if (number := -(-max(0, len(spans) - k) // step) + 1) > cap:
                     grow = number / cap * 1.1
                     k, step = int(k * grow), int(step * grow)
-                breaks = [m.start() for m in re.finditer("\n", text)]
+                breaks = np.array([m.start() for m in re.finditer("\n", text)], dtype=np.int64)
+                first, last = np.searchsorted(breaks, np.array(spans or [(0, 0)]).T) + 1
                 for no, s in enumerate(range(0, max(1, len(spans)), step) if spans else ()):
                     a, b = spans[s][0], spans[min(s + k, len(spans)) - 1][1]
-                    rows.append((item, no, a, b, pd.Index(breaks).searchsorted(a) + 1, pd.Index(breaks).searchsorted(b) + 1))
+                    rows.append((item, no, a, b, int(first[s]), int(last[min(s + k, len(spans)) - 1])))
                     if s + k >= len(spans):
                         break
             yield pd.DataFrame(rows, columns=["id", "no", "start_char", "end_char", "start_line", "end_line"])
@@ -73,3 +75,51 @@ def information(language: Column, path: Column, start: Column, end: Column, text
     first = F.trim(F.get(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(0)))
     short = F.when(F.length(first) > 160, F.concat(F.substring(first, 1, 160), F.lit("…"))).otherwise(first)
     return F.concat(F.coalesce(language, F.lit("")), F.lit(" code from "), path, F.lit(" lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(". "), short)
+
+
+def pack_symbols(n: int, symbols: list[tuple[int, int]], max_lines: int = 120, overlap: int = 20) -> list[tuple[int, int]]:
+    """Line ranges over 1..n: adjacent symbols share a chunk while it spans at most ``max_lines`` and no gap is over ``overlap``;
+    longer symbols and the gaps between are cut into plain windows."""
+    runs: list[list[int]] = []
+    for a, b in sorted(s for s in symbols if 1 <= s[0] <= s[1] <= n):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)  # nested in or overlapping the one before
+        elif runs and a - runs[-1][1] - 1 <= overlap and b - runs[-1][0] + 1 <= max_lines:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+    out, at = [], 1
+    for a, b in [*runs, [n + 1, n]]:
+        if at < a:
+            out += _windows(at, a - 1, max_lines, overlap)
+        if a <= b:
+            out += _windows(a, b, max_lines, overlap)
+        at = max(at, b + 1)
+    return out
+
+
+def _windows(a: int, b: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    out = []
+    while True:
+        end = min(a + size - 1, b)
+        out.append((a, end))
+        if end == b:
+            return out
+        a = end - overlap + 1
+
+
+def semantic_chunks(files: DataFrame, symbols: DataFrame, id_col: str, text_col: str, max_lines: int = 120, overlap: int = 20) -> DataFrame:
+    """(id, start_line, end_line, chunk_text): chunks that keep symbols (id, start_line, end_line) whole where they fit; see ``pack_symbols``."""
+    kind = files.schema[id_col].dataType.simpleString()
+    spans = symbols.groupBy("id").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))
+    rows = files.select(F.col(id_col).alias("id"), text_lines(F.col(text_col)).alias("lines")).where(F.size("lines") > 0).join(spans, "id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, lines, found in zip(batch["id"], batch["lines"], batch["spans"], strict=True):
+                pairs = [(x["start_line"], x["end_line"]) for x in found] if found is not None else []
+                out += [(item, a, b, "\n".join(lines[a - 1 : b])) for a, b in pack_symbols(len(lines), pairs, max_lines, overlap)]
+            yield pd.DataFrame(out, columns=["id", "start_line", "end_line", "chunk_text"])
+
+    return rows.mapInPandas(run, f"id {kind}, start_line int, end_line int, chunk_text string")

@@ -45,3 +45,33 @@ def learned(pairs: DataFrame, most: int = 5) -> DataFrame:
     w = Window.partitionBy("token").orderBy(F.desc("n"), "expansion")
     best = n.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
     return best.join(total, "token").select("token", "expansion", F.round(F.col("n") / F.col("_t"), 6).alias("weight"))
+
+
+#: Weights of the versions of a query: itself, a phrase replaced, a word replaced, a term of its neighbours.
+TIERS = {"original": 1.0, "phrase": 0.85, "word": 0.6, "neighbour": 0.4}
+
+
+def weighted(original: DataFrame, phrases: DataFrame, words: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(query_id, text, weight): all versions of a query, each at the weight of its best tier. All inputs: query_id, text."""
+    parts = [df.select("query_id", "text", F.lit(w).alias("weight")) for df, w in zip((original, phrases, words, neighbours), TIERS.values(), strict=True)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.groupBy("query_id", "text").agg(F.max("weight").alias("weight"))
+
+
+def neighbour_terms(ranked: DataFrame, names: DataFrame, queries: DataFrame, top: int = 8, least: float = 0.3, most: int = 10) -> DataFrame:
+    """(query_id, term): parts of the names of a query's nearest points of at least the given score, without its own words; short
+    ones first. ``names``: id, text."""
+    near = ranked.where((F.col("rank") <= top) & (F.col("score") >= least)).join(names, "id")
+    own = queries.select("query_id", tokens.ident_tokens(F.col("text"), True).alias("_own"))
+    terms = near.select("query_id", F.explode(F.array_distinct(tokens.ident_tokens(F.col("text"), True))).alias("term")).distinct().join(own, "query_id")
+    kept = terms.where(~F.array_contains("_own", F.col("term")) & (F.length("term") > 2)).select("query_id", "term")
+    w = Window.partitionBy("query_id").orderBy(F.length("term"), "term")
+    return kept.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
+
+
+def implied_query(filters: dict[str, str]) -> str:
+    """A query for filters alone: the words of the names that they give."""
+    import re
+
+    given = " ".join(str(filters[k]) for k in ("symbol", "under", "path_glob", "kind", "language") if filters.get(k))
+    return " ".join(dict.fromkeys(t.lower() for t in re.findall(tokens.IDENT, given)))

@@ -23,14 +23,38 @@ IMPORTS = {
     "go": r"^\s*import\s+(?:\w+\s+)?\"([^\"]+)\"",
     "java": r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;",
     "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)",
+    "c": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]",
+    "cpp": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]",
+    "csharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;",
+    "php": r"^\s*(?:use|require_once|require|include_once|include)\s*\(?\s*['\"]?([\w./\\-]+)",
+    "ruby": r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]",
+    "shell": r"^\s*(?:source|\.)\s+([\w./-]+)",
+    "powershell": r"^\s*(?:Import-Module|using\s+module)\s+([\w./\\-]+)",
+    "terraform": r"^\s*source\s*=\s*\"([^\"]+)\"",
 }
 #: Line patterns of symbols by language: (kind, pattern), the first group is the name.
 SYMBOLS = {
     "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")],
     "go": [("struct", r"^type\s+(\w+)\s+struct\b"), ("interface", r"^type\s+(\w+)\s+interface\b"), ("method", r"^func\s+\([^)]*\)\s*(\w+)\s*\("), ("function", r"^func\s+(\w+)\s*\(")],
     "java": [("class", r"^\s*(?:public\s+|final\s+|abstract\s+)*class\s+(\w+)"), ("method", r"^\s*(?:public|protected|private)\s+(?:static\s+|final\s+)*[\w<>\[\]]+\s+(\w+)\s*\(")],
-    "rust": [("struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"), ("function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)")],
+    "rust": [
+        ("struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"),
+        ("impl", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)"), ("function", r"^\s*(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?fn\s+(\w+)"),
+    ],
+    "csharp": [
+        ("class", r"^\s*(?:(?:public|internal|private|protected|static|sealed|abstract|partial)\s+)*(?:class|interface|struct|enum)\s+(\w+)"),
+        ("method", r"^\s*(?:(?:public|internal|private|protected|static|virtual|override|async)\s+)+[\w<>\[\],?]+\s+(\w+)\s*\("),
+    ],
+    "php": [("class", r"^\s*(?:(?:abstract|final)\s+)*(?:class|interface|trait)\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|static|final)\s+)*function\s+&?(\w+)\s*\(")],
+    "terraform": [("resource", r"^\s*(?:resource|data)\s+\"[^\"]+\"\s+\"([^\"]+)\""), ("block", r"^\s*(?:variable|output|module|provider)\s+\"([^\"]+)\"")],
+    "shell": [("function", r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*\(\)\s*\{?")],
+    "yaml": [("key", r"^([A-Za-z_][\w-]*)\s*:")],
+    "powershell": [("function", r"^\s*function\s+([A-Za-z_][\w-]*)")],
 }
+#: Languages whose symbols are told by their first line alone, so they end where they begin.
+ONE_LINE = ("shell", "yaml", "powershell")
+#: Kinds that own the methods and functions after them.
+OWNERS = ("class", "struct", "impl", "trait", "interface")
 SYMBOLS["typescript"] = [*SYMBOLS["javascript"], ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)")]
 
 
@@ -59,12 +83,33 @@ def line_symbols(files: DataFrame, id_col: str, language_col: str, text_col: str
         for kind, pattern in reversed(patterns):
             name = F.regexp_extract("_l", pattern, 1)
             hit = F.when((F.col("_g") == language) & (name != ""), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(hit)
-    found = lines.select("id", "_n", (F.col("_i") + 1).alias("start_line"), hit.alias("h")).where("h is not null")
+    found = lines.select("id", "_g", "_n", (F.col("_i") + 1).alias("start_line"), hit.alias("h")).where("h is not null")
     w = Window.partitionBy("id").orderBy("start_line")
-    end = F.greatest(F.col("start_line"), F.coalesce(F.lead("start_line").over(w) - 1, F.col("_n")))
+    end = F.when(F.col("_g").isin(*ONE_LINE), F.col("start_line")).otherwise(F.greatest(F.col("start_line"), F.coalesce(F.lead("start_line").over(w) - 1, F.col("_n"))))
     return found.select("id", F.col("h.kind").alias("kind"), F.col("h.name").alias("name"), "start_line", end.alias("end_line"))
 
 
+def owned_symbols(symbols: DataFrame, joint: str = ".") -> DataFrame:
+    """``line_symbols`` with ``path``: methods and functions behind the class, struct or impl that was declared last before them."""
+    w = Window.partitionBy("id").orderBy("start_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.last(F.when(F.col("kind").isin(*OWNERS), F.col("name")), ignorenulls=True).over(w)
+    inside = F.col("kind").isin("method", "function") & F.col("_o").isNotNull()
+    return symbols.withColumn("_o", owner).withColumn("path", F.when(inside, F.concat("_o", F.lit(joint), "name")).otherwise(F.col("name"))).drop("_o")
+
+
+def go_block_imports(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, module) of the modules in the import blocks of Go files: what is quoted between ``import (`` and its ``)``."""
+    block = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?m)^import\s*\(([^)]*)\)"), 1)
+    module = F.explode(F.flatten(F.transform(block, lambda b: F.regexp_extract_all(b, F.lit('"([^"]+)"'), 1)))).alias("module")
+    return files.select(F.col(id_col).alias("id"), module).distinct()
+
+
+def symbols(files: DataFrame, id_col: str, language_col: str, text_col: str) -> DataFrame:
+    """Symbols of files of any known language: Python by syntax tree, the others by line patterns."""
+    python = F.lower(F.coalesce(language_col, F.lit(""))) == "python"
+    return python_symbols(files.where(python), id_col, text_col).unionByName(line_symbols(files.where(~python), id_col, language_col, text_col))
+
+
 def python_symbols(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kind, name, start_line, end_line) of Python files by their syntax tree; files that do not parse give no row."""
     kind = files.schema[id_col].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -207,3 +208,32 @@ def normalise_scores(ranked: DataFrame, group: str = "query_id", score: str = "s
     """Scores as sigmoids of their z-scores within a group (population deviation)."""
     stats = ranked.groupBy(group).agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
     return ranked.join(stats, group).withColumn("norm", rounded(scores.sigmoid_z(F.col(score), F.col("_m"), F.col("_s")))).drop("_m", "_s")
+
+
+def projection(dim: int, out: int, seed: int = 1337) -> list[list[float]]:
+    """``out`` rows of random signs over the root of ``out``: a projection that keeps distances about, the same in every session."""
+    rng = random.Random(seed)
+    size = 1 / math.sqrt(out)
+    return [[size if rng.random() < 0.5 else -size for _ in range(dim)] for _ in range(out)]
+
+
+def project(vector: Column, dim: int, out: int, seed: int = 1337) -> Column:
+    """A vector's projection to ``out`` numbers, of length 1."""
+    raw = F.array(*[tokens.dot(vector, F.array(*[F.lit(x) for x in row])) for row in projection(dim, out, seed)])
+    return F.get(F.transform(F.array(raw), lambda r: F.transform(r, lambda x: F.when(tokens.dot(r, r) > 0, x / F.sqrt(tokens.dot(r, r))).otherwise(0.0))), F.lit(0))
+
+
+def gated_topk(queries: DataFrame, corpus: DataFrame, dim: int, k: int, gate: int = 200, small: int = 16) -> DataFrame:
+    """(query_id, id, score, rank): the best k by exact cosine among the ``gate`` best by small projected vectors (vec_id, embedding)."""
+    mini = lambda df: df.select("vec_id", project(F.col("embedding"), dim, small).alias("embedding"))
+    near = dense_topk(mini(queries), mini(corpus), gate).select("query_id", "id")
+    a = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_a"))
+    b = corpus.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_b"))
+    scored = near.join(a, "query_id").join(b, "id").select("query_id", "id", rounded(tokens.cosine(F.col("_a"), F.col("_b"))).alias("score"))
+    return top_k(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+
+
+def best_of_variants(ranked: DataFrame, of: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the lists of a query's variants (``of``: variant_id, query_id) in one, each row at its best raw score."""
+    met = ranked.withColumnRenamed("query_id", "variant_id").join(of, "variant_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_k(met, "query_id", [F.desc("score"), F.asc("id")], k)
