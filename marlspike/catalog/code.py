@@ -244,7 +244,16 @@ def flow_likeness(spark, root):
     return p.select(F.col("a.sig_id").alias("sig_a"), F.col("b.sig_id").alias("sig_b"), patterns.flow_likeness(F.col("a.control_flow"), F.col("b.control_flow")).alias("likeness"))
 
 
-@query("hyperplane_buckets")
+def _bucket_sql(planes) -> str:
+    bits = [f"(CASE WHEN list_dot_product(e, [{', '.join(f'{x!r}::DOUBLE' for x in p.tolist())}]) > 0 THEN {1 << b} ELSE 0 END)" for b, p in enumerate(planes)]
+    return " + ".join(bits)
+
+
+_BUCKETS_SQL = " UNION ALL ".join(f"SELECT {t} AS tab, {_bucket_sql(p)} AS bucket, vec_id FROM v" for t, p in enumerate(patterns.planes(4, 8, 64)))
+
+
+@query("hyperplane_buckets", f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), b AS ({_BUCKETS_SQL})
+SELECT tab AS "table", bucket, count(*) AS members, min(vec_id) AS least FROM b GROUP BY ALL""")
 def hyperplane_buckets(spark, root):
     v = table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return patterns.hyperplane_buckets(v, 64).groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least"))

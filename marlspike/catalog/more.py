@@ -8,9 +8,9 @@ from ..functions import rules, tokens
 from ..operators import chunking, expand, extract, retrieve
 from ..plans import hybrid, ingest
 from ..session import cut_lineage, rounded, table
-from .base import FILES, files, query
+from .base import FILES, files, query, sql_tokens
 from .code import _SYMBOL_CASES, LINES
-from .retrieval import DENSE_SQL, _hashed, _queries, _dense
+from .retrieval import DENSE_SQL, HASHED_SQL, _dense, _hashed, _queries
 
 _PLACED = f"""WITH f AS (SELECT file_id AS id, lower(language) AS g, {LINES} AS a FROM {FILES} WHERE coalesce(text, '') <> ''),
  l AS (SELECT id, g, unnest(a) AS l, generate_subscripts(a, 1) AS i FROM f), h AS (SELECT id, i, CASE {_SYMBOL_CASES} END AS h FROM l),
@@ -58,7 +58,11 @@ def projected_vectors(spark, root):
     return p.select("vec_id", rounded(F.get("p", F.lit(0)), 5).alias("first"), rounded(F.get("p", F.lit(15)), 5).alias("last"))
 
 
-@query("gated_topk")
+@query("gated_topk", f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT vec_id, e, [{_ROWS}] AS r FROM v),
+ g AS (SELECT q.vec_id AS query_id, c.vec_id AS id, q.e AS a, c.e AS b FROM p q, p c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.r, c.r), 6) DESC, c.vec_id) <= 200),
+ s AS (SELECT query_id, id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM g)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""")
 def gated_topk(spark, root):
     """The exact best among the 200 nearest by projected vectors; the queries are the stated set of ids divisible by 20."""
     e = table(spark, root, "embeddings")
@@ -74,7 +78,12 @@ def dense_variants(spark, root):
     return retrieve.best_of_variants(d, of, 10)
 
 
-@query("neighbour_terms")
+_NEIGHBOURS_SQL = HASHED_SQL + f""", o AS (SELECT item_id AS query_id, {sql_tokens('text', True)} AS own FROM eval_item WHERE text IS NOT NULL),
+ t AS (SELECT DISTINCT query_id, unnest({sql_tokens('d.path', True)}) AS term FROM hashed JOIN documents d ON d.doc_id = hashed.id WHERE rank <= 8 AND score >= 0.3),
+ n AS (SELECT query_id, term FROM t JOIN o USING (query_id) WHERE NOT list_contains(own, term) AND length(term) > 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term), term) <= 10)"""
+
+
+@query("neighbour_terms", _NEIGHBOURS_SQL + " SELECT query_id, term FROM n")
 def neighbour_terms(spark, root):
     names = table(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("path").alias("text"))
     return expand.neighbour_terms(_hashed(spark, root), names, _queries(spark, root))

@@ -311,7 +311,14 @@ def query_intent(spark, root):
     return table(spark, root, "eval_item").select("item_id", expand.intent(F.col("text")).alias("intent"))
 
 
-@query("synonym_expansion")
+_SYNONYM_ROWS = ", ".join(f"('{w}', '{x}')" for w, more in expand.SYNONYMS.items() for x in more)
+
+
+@query("synonym_expansion", f"""WITH q AS (SELECT item_id AS query_id, text FROM eval_item WHERE text IS NOT NULL), y(word, synonym) AS (VALUES {_SYNONYM_ROWS}),
+ w AS (SELECT query_id, text, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM q),
+ e AS (SELECT query_id, text, 0 AS tier FROM q UNION ALL SELECT query_id, regexp_replace(text, '\\b' || word || '\\b', synonym, 'gi'), 1 FROM w JOIN y USING (word)),
+ m AS (SELECT query_id, text, min(tier) AS tier FROM e GROUP BY ALL)
+SELECT query_id, text, tier FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, text) <= 12""")
 def synonym_expansion(spark, root):
     pairs = [(w, s) for w, more in expand.SYNONYMS.items() for s in more]
     return expand.expand(_queries(spark, root), F.broadcast(spark.createDataFrame(pairs, "word string, synonym string")))
