@@ -9,7 +9,6 @@ from ..operators import expand
 from ..session import rounded, table
 from .base import CHUNKS, FILES, SYMBOLS, chunks, files, query, sql_tokens, symbols
 
-T = F.col("text")
 
 
 def _any_sql(column: str, phrases: tuple[str, ...], test: str = "contains") -> str:
@@ -23,7 +22,7 @@ def _items(spark, root):
 
 @query("implementation_intent", f"SELECT item_id, {_any_sql('lower(coalesce(text, chr(32)))', rules.IMPLEMENTATION_PHRASES)} AS wanted FROM eval_item")
 def implementation_intent(spark, root):
-    return _items(spark, root).select("item_id", rules.implementation_intent(T).alias("wanted"))
+    return _items(spark, root).select("item_id", rules.implementation_intent(F.col("text")).alias("wanted"))
 
 
 @query("adaptive_weights", f"""WITH t AS (SELECT item_id, coalesce(text, '') AS x, list_distinct({sql_tokens('text', True)}) AS k FROM eval_item),
@@ -31,7 +30,7 @@ def implementation_intent(spark, root):
   + (CASE WHEN len(k) >= 8 THEN 0.4 ELSE 0 END)::DOUBLE - (CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda t: regexp_matches(t, '[0-9]')))::DOUBLE / len(k) ELSE 0 END)))::DOUBLE AS delta FROM t)
 SELECT item_id, round(1 + 0.25::DOUBLE * delta, 6) AS dense, round(1 - 0.25::DOUBLE * delta, 6) AS vector, round(1 - 0.2::DOUBLE * delta, 6) AS lexical FROM d""")
 def adaptive_weights(spark, root):
-    return _items(spark, root).select("item_id", rules.adaptive_weights(T).alias("w")).select("item_id", "w.*")
+    return _items(spark, root).select("item_id", rules.adaptive_weights(F.col("text")).alias("w")).select("item_id", "w.*")
 
 
 @query("score_modes", """SELECT l_orderkey, l_linenumber, round(r, 9) AS raw, round(1.0::DOUBLE / 80 + least(r, 20) / 20 * (1.0::DOUBLE / 31 - 1.0::DOUBLE / 80), 9) AS rrf,
@@ -49,7 +48,7 @@ SELECT item_id, profile, CASE profile WHEN 'symbol' THEN 0.3 WHEN 'semantic' THE
 def search_profiles(spark, root):
     p = F.col("profile")
     settings = [rules.profile_setting(p, i).alias(n) for i, n in ((0, "dense_weight"), (3, "effort"), (4, "most"))]
-    return _items(spark, root).select("item_id", rules.search_profile(T).alias("profile")).select("item_id", "profile", *settings)
+    return _items(spark, root).select("item_id", rules.search_profile(F.col("text")).alias("profile")).select("item_id", "profile", *settings)
 
 
 _LANGUAGE_SQL = " OR ".join(
@@ -72,9 +71,9 @@ def memory_rows(spark, root):
  len(list_intersect({sql_tokens('path', True)}, {sql_tokens('text', True)})) AS o FROM documents)
 SELECT doc_id, (CASE WHEN m AND NOT q THEN -0.15::DOUBLE - (CASE WHEN o = 0 THEN 0.5 ELSE 0 END)::DOUBLE ELSE 0 END)::DOUBLE AS penalty FROM t""")
 def memory_penalties(spark, root):
-    overlap = F.size(F.array_intersect(tokens.ident_tokens(F.col("path"), True), tokens.ident_tokens(T, True)))
+    overlap = F.size(F.array_intersect(tokens.ident_tokens(F.col("path"), True), tokens.ident_tokens(F.col("text"), True)))
     memory = rules.memory_like(F.col("path"), F.lit(""), F.col("source"))
-    return table(spark, root, "documents").select("doc_id", rules.memory_penalty(T, memory, overlap).alias("penalty"))
+    return table(spark, root, "documents").select("doc_id", rules.memory_penalty(F.col("text"), memory, overlap).alias("penalty"))
 
 
 @query("secret_settings", f"""SELECT name, secret FROM (SELECT DISTINCT upper(name) || e AS name FROM {SYMBOLS}, (SELECT unnest(['_TOKEN', '_api_key', '_path', 'Password', '']) AS e) WHERE name IS NOT NULL),
@@ -108,12 +107,12 @@ def expected_paths(spark, root):
  round(len(list_filter(['cache', 'queue', 'parser', 'index'], lambda t: contains(lower(text), t)))::DOUBLE / 4, 6) AS coverage FROM documents WHERE text IS NOT NULL""")
 def grounding(spark, root):
     topics = F.array(*[F.lit(t) for t in ("cache", "queue", "parser", "index")])
-    return table(spark, root, "documents").where("text is not null").select("doc_id", rules.hedges(T).alias("hedges"), rules.code_references(T).alias("code_references"), rules.covered_share(T, topics).alias("coverage"))
+    return table(spark, root, "documents").where("text is not null").select("doc_id", rules.hedges(F.col("text")).alias("hedges"), rules.code_references(F.col("text")).alias("code_references"), rules.covered_share(F.col("text"), topics).alias("coverage"))
 
 
 @query("cited_paths", """SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '([\\w./-]+\\.[a-z]+):[0-9]+', 1))), ' ') AS paths FROM documents""")
 def cited_paths(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.array_join(rules.citations(T), " ").alias("paths"))
+    return table(spark, root, "documents").select("doc_id", F.array_join(rules.citations(F.col("text")), " ").alias("paths"))
 
 
 @query("dense_texts", f"""WITH c AS (SELECT chunk_id AS id, coalesce(language, '') || ' code from ' || path || ' lines ' || start_line || '-' || end_line || '. x' AS info, coalesce(chunk_text, '') AS code, coalesce(calls, []) AS calls FROM {CHUNKS}),
@@ -140,14 +139,14 @@ def chunk_tags(spark, root):
   CASE WHEN b > 0 THEN '...' || regexp_replace(substr(text, greatest(b - 30, 1), least(b - 1, 30) + 35), 'queue', '<<\\0>>', 'gi') || '...' END AS y FROM d)
 SELECT doc_id, concat_ws(' | ', x, y) AS marks FROM p""")
 def memory_marks(spark, root):
-    d = table(spark, root, "documents").where(T.isNotNull())
-    return d.select("doc_id", F.array_join(rules.memory_highlights(T, ["cache", "queue", "of"]), " | ").alias("marks"))
+    d = table(spark, root, "documents").where(F.col("text").isNotNull())
+    return d.select("doc_id", F.array_join(rules.memory_highlights(F.col("text"), ["cache", "queue", "of"]), " | ").alias("marks"))
 
 
 @query("phrase_versions", """WITH i AS (SELECT item_id, lower(coalesce(text, '')) || (CASE WHEN item_id % 2 = 0 THEN ' true or false' ELSE '' END) AS x FROM eval_item)
 SELECT item_id, replace(x, 'true or false', s) AS version FROM i, (SELECT unnest(['boolean', 'bool']) AS s) WHERE contains(x, 'true or false')""")
 def phrase_versions(spark, root):
-    x = F.concat(F.coalesce(T, F.lit("")), F.when(F.col("item_id") % 2 == 0, " true or false").otherwise(""))
+    x = F.concat(F.coalesce(F.col("text"), F.lit("")), F.when(F.col("item_id") % 2 == 0, " true or false").otherwise(""))
     return _items(spark, root).select("item_id", F.explode(rules.phrase_versions(x)).alias("version"))
 
 
@@ -198,7 +197,7 @@ def learned_expansion(spark, root):
 SELECT item_id, tool, n::INT AS shared FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, tool) = 1""")
 def tool_choice(spark, root):
     signatures = {"search": ("find", "search", "code"), "history": ("commit", "change", "history"), "graph": ("call", "import", "symbol")}
-    k = F.array_distinct(tokens.ident_tokens(T, True))
+    k = F.array_distinct(tokens.ident_tokens(F.col("text"), True))
     shared = [F.struct(F.size(F.array_intersect(k, F.array(*[F.lit(w) for w in ws]))).alias("n"), F.lit(t).alias("tool")) for t, ws in signatures.items()]
     best = F.get(F.array_sort(F.array(*[F.struct((-s["n"]).alias("m"), s["tool"].alias("tool")) for s in shared])), F.lit(0))
     return _items(spark, root).select("item_id", best.alias("b")).select("item_id", F.col("b.tool").alias("tool"), (-F.col("b.m")).alias("shared"))

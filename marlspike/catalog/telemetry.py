@@ -115,12 +115,12 @@ def report_deltas(spark, root):
 
 
 @query("call_metrics", """WITH d AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type, value ORDER BY ts, event_id) AS r FROM events)
-SELECT user_id, count(*) AS calls, sum(CASE WHEN r > 1 THEN 1 ELSE 0 END)::BIGINT AS repeated, round(avg(value), 6) AS mean FROM d GROUP BY user_id""")
+SELECT user_id, count(*) AS calls, sum(CASE WHEN r > 1 THEN 1 ELSE 0 END)::BIGINT AS repeated, round(avg(value), 9) AS mean FROM d GROUP BY user_id""")
 def call_metrics(spark, root):
     """Calls of a session, and how many repeat an earlier one with the same arguments."""
     e = table(spark, root, "events")
     per = e.groupBy("user_id", "event_type", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
-    return per.groupBy("user_id").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("repeated"), rounded(F.sum("s") / F.sum("n")).alias("mean"))
+    return per.groupBy("user_id").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("repeated"), rounded(F.sum("s") / F.sum("n"), 9).alias("mean"))
 
 
 @query("variant_statistics", f"""SELECT {VARIANT}::BIGINT AS variant, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS error_rate
@@ -213,3 +213,24 @@ def stream_debounce(spark, root):
 def stream_first_seen(spark, root):
     """Equal requests within 60 days, more than the feed spans, count once."""
     return feeds.drain(feeds.first_seen(_stream(spark, root), ["user_id", "event_type", "value"], "60 days").select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("distinct_requests", """WITH RECURSIVE f AS (SELECT event_type, epoch_us(ts) AS t, event_id FROM events), s AS (SELECT event_type, min(t) AS t FROM f GROUP BY event_type
+ UNION ALL SELECT s.event_type, (SELECT min(f.t) FROM f WHERE f.event_type = s.event_type AND f.t >= s.t + 3600000000) FROM s WHERE s.t IS NOT NULL)
+SELECT s.event_type, min(f.event_id) AS event_id FROM s JOIN f ON f.event_type = s.event_type AND f.t = s.t GROUP BY s.event_type, s.t""")
+def distinct_requests(spark, root):
+    """Of each event type the first of every period of an hour that begins with it."""
+    e = table(spark, root, "events").select("event_id", "event_type", "ts")
+    return feeds.distinct_requests(e, ["event_type"], 3600).select("event_type", "event_id")
+
+
+@query("change_actions", """WITH e AS (SELECT 'p' || user_id AS path, CASE event_type WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event, md5((event_id % 3)::VARCHAR) AS h, ts FROM events WHERE event_id % 7 <> 0),
+ l AS (SELECT path, arg_max({'event': event, 'h': h}, (ts, event)) AS v FROM e GROUP BY path), k AS (SELECT 'p' || user_id AS path, max(md5((user_id % 3)::VARCHAR)) AS kh FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT l.path, CASE WHEN v.event = 'deleted' THEN (CASE WHEN kh IS NOT NULL THEN 'delete' ELSE 'skip' END) WHEN kh = v.h THEN 'skip' WHEN kh IS NOT NULL THEN 'smart' ELSE 'full' END AS action FROM l LEFT JOIN k ON l.path = k.path""")
+def change_actions(spark, root):
+    """What a batch of change events calls for, over paths of which half are known."""
+    e = table(spark, root, "events")
+    path = F.concat(F.lit("p"), F.col("user_id").cast("string"))
+    hashed = lambda c: F.md5((F.col(c) % 3).cast("string"))
+    changes = e.where("event_id % 7 <> 0").select(path.alias("path"), F.when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("event"), hashed("event_id").alias("file_hash"), "ts")
+    return feeds.apply_changes(e.where("user_id % 2 = 0").select(path.alias("path"), hashed("user_id").alias("file_hash")), changes)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,13 +54,35 @@ def snapshot_only(points: DataFrame, run: str, kind: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, name: str, version: str) -> str:
-    """Writes a new version beside the old one and then swaps the pointer row, so readers see one or the other."""
+    """Writes a new version beside the old ones and then adds a pointer row with the next number.
+
+    Pointer rows are only ever added, and Spark moves a file into place when it is whole, so readers see the version before or
+    this one. A version that was written but not pointed to is no part of the table.
+    """
     target = f"{root}/{name}/version={version}"
     df.write.mode("overwrite").parquet(target)
     spark = df.sparkSession
-    spark.createDataFrame([(name, target)], "name string, target string").coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_current")
+    _point(spark, root, name, target)
     return target
 
 
-def read_published(spark, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{root}/{name}/_current").first()["target"])
+def _point(spark: SparkSession, root: str, name: str, target: str) -> None:
+    try:
+        last = spark.read.schema(_POINTER).json(f"{root}/{name}/_current").agg(F.max("seq")).first()[0] or 0
+    except AnalysisException:  # the first version
+        last = 0
+    spark.createDataFrame([(last + 1, target)], _POINTER).coalesce(1).write.mode("append").json(f"{root}/{name}/_current")
+
+
+def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The version that the last pointer names."""
+    rows = spark.read.schema(_POINTER).json(f"{root}/{name}/_current")
+    return spark.read.parquet(rows.agg(F.max_by("target", "seq")).first()[0])
+
+
+def roll_back(spark: SparkSession, root: str, name: str, version: str) -> None:
+    """Points to an older version again."""
+    _point(spark, root, name, f"{root}/{name}/version={version}")
+
+
+_POINTER = "seq bigint, target string"

@@ -30,9 +30,14 @@ def pass_at_k(ranked: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return met.groupBy("query_id").agg((F.count("_hit") == F.count(F.lit(1))).alias("passed"))
 
 
-def latency_summary(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Exact linear-interpolated percentiles, extremes, mean and sample deviation."""
-    quantiles = [F.percentile(value, p).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
+def latency_summary(values: DataFrame, group: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """Linear-interpolated percentiles, extremes, mean and sample deviation.
+
+    Percentiles are exact, which holds all distinct values of a group in one buffer; with ``accuracy`` they are sketches whose
+    rank is off by at most 1 / accuracy, of bounded size for groups of any number of rows.
+    """
+    of = lambda p: F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy).cast("double")
+    quantiles = [of(p).alias(n) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
     stats = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *quantiles, F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
     return stats.select(*group, "n", *[F.round(c, 2).alias(c) for c in ("p50", "p90", "p95", "p99", "least", "most", "mean", "deviation")])
 

@@ -52,7 +52,12 @@ def toon_rows(df: DataFrame, columns: list[str]) -> Column:
     return F.concat(F.lit("  "), F.concat_ws(",", *[toon_value(F.col(c)) for c in columns]))
 
 
-def write_toon(df: DataFrame, columns: list[str], name: str = "results") -> str:
-    """A bounded result (a query's top k) as a compact table: one header with the columns, then a line a row."""
-    lines = [r[0] for r in df.select(toon_rows(df, columns)).collect()]
+def write_toon(df: DataFrame, columns: list[str], name: str = "results", most: int = 10_000) -> str:
+    """A bounded result (a query's top k) as a compact table: one header with the columns, then a line a row.
+
+    More than ``most`` rows are an error; write ``toon_rows`` as text instead.
+    """
+    lines = [r[0] for r in df.select(toon_rows(df, columns)).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"more than {most} rows for one compact table")
     return "\n".join([f"{name}[{len(lines)}]{{{','.join(columns)}}}:", *lines])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..session import ensure_checkpoint_dir
 
 
@@ -84,3 +85,40 @@ def sliding(events: DataFrame, size: str = "1 hour", step: str = "15 minutes", l
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hands micro-batches to ``handle`` until the feed is read up."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def request_fingerprint(columns: list[str]) -> Column:
+    """One hash over a request's normalised fields: text trimmed, lower-cased, blanks folded; null is empty."""
+    plain = [F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"\s+", " ") for c in columns]
+    return F.sha2(F.concat_ws("\u0001", *plain), 256)
+
+
+def distinct_requests(events: DataFrame, columns: list[str], ttl_seconds: int = 60) -> DataFrame:
+    """Requests that are not repeated within ``ttl_seconds`` of the first of their kind; a repeat does not renew the time.
+
+    In batch, for a bounded span of time: each fingerprint's distinct times (8 bytes each, in one row) are folded in order; one
+    that comes ``ttl_seconds`` or more after the period's first opens the next. ``first_seen`` is the form for endless feeds.
+    """
+    f = events.withColumn("_f", request_fingerprint(columns)).withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
+    times = f.groupBy("_f").agg(F.array_sort(F.collect_set("_t")).alias("_all"))
+    none = F.array().cast("array<bigint>")
+    opens = F.aggregate("_all", none, lambda s, t: F.when((F.size(s) == 0) | (t - F.element_at(s, -1) >= ttl_seconds * 1_000_000), F.concat(s, F.array(t))).otherwise(s))
+    firsts = times.select("_f", F.explode(opens).alias("_t"))
+    kept = f.join(firsts, ["_f", "_t"]).groupBy("_f", "_t").agg(F.min(F.struct(*events.columns)).alias("_v"))
+    return kept.select("_v.*")
+
+
+def similar_request(a: Column, b: Column, least: float = 0.9) -> Column:
+    """Whether two requests' words overlap by at least ``least``."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]+"), 0))
+    return tokens.jaccard(words(a), words(b)) >= least
+
+
+def apply_changes(held: DataFrame, changes: DataFrame) -> DataFrame:
+    """(path, action) for a batch of change events (path, event, file_hash, ts): the last event of a path counts; ``skip`` where
+    the held hash is equal, ``delete`` for what is gone, ``smart`` for a known path, ``full`` for a new one."""
+    last = changes.groupBy("path").agg(F.max_by(F.struct("event", "file_hash"), F.struct("ts", "event")).alias("v")).select("path", "v.*")
+    known = held.groupBy("path").agg(F.max("file_hash").alias("_h"))
+    gone = F.col("event").isin("deleted", "moved_from")
+    action = F.when(gone, F.when(F.col("_h").isNotNull(), "delete").otherwise("skip")).when(F.col("_h") == F.col("file_hash"), "skip").when(F.col("_h").isNotNull(), "smart").otherwise("full")
+    return last.join(known, "path", "left").select("path", action.alias("action"))

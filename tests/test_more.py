@@ -128,3 +128,30 @@ def test_drained_streams_keep_open_groups(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "feed.parquet"))
     assert [r.n for r in feeds.drain_all(feeds.windowed(stream), ["start", "event_type"]).collect()] == [4]
     assert [(r.user_id, r.changes) for r in feeds.bursts(stream, df, "user_id").collect()] == [(1, 4)]
+
+
+def test_published_versions(spark, tmp_path):
+    from marlspike.operators import incremental
+
+    for v in ("1", "2"):
+        incremental.publish(spark.createDataFrame([(v,)], "v string"), str(tmp_path), "t", v)
+        assert [r.v for r in incremental.read_published(spark, str(tmp_path), "t").collect()] == [v]
+    incremental.roll_back(spark, str(tmp_path), "t", "1")
+    assert incremental.read_published(spark, str(tmp_path), "t").first().v == "1"
+
+
+def test_repeated_requests(spark):
+    rows = [(1, " Find  X", 0), (2, "find x", 50), (3, "FIND X", 61), (4, "find y", 1), (5, None, 2)]
+    df = spark.createDataFrame(rows, "id int, q string, s int").select("id", "q", F.timestamp_seconds("s").alias("ts"))
+    assert {r.id for r in feeds.distinct_requests(df, ["q"], 60).collect()} == {1, 3, 4, 5}
+    assert one(spark, feeds.similar_request(F.lit("a b c"), F.lit("C b a")))
+
+
+def test_registry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, capture_output=True, timeout=120)
+    assert run.returncode == 0, run.stderr.decode()
