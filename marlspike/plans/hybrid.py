@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import queries as rules
 from ..functions import scores, tokens
 from ..operators import expand, filters, postprocess, retrieve
-from ..session import cut_lineage, rounded, spread_rows
+from ..session import cut_lineage, rounded
 
 CANDIDATES, DENSE_DIM = 100, 256
 DENSE_WEIGHT, LEXICAL_WEIGHT, TEXT_WEIGHT = 1.5, 1.0, 0.01
@@ -106,7 +106,11 @@ def scored(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, dense: Da
             F.size(F.filter(t, lambda w: F.contains("_code", w))).alias("_hits"),
         )
 
-    met = spread_rows(fields.withColumn("_filename", tokens.filename_tokens(F.col("path"))).join(asked, "id"))
+    # a stated number, so that the few bytes of a small table still go to all cores
+    spark = points.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = fields.withColumn("_filename", tokens.filename_tokens(F.col("path")))
+    met = named.repartition(tasks, "id").join(asked.repartition(tasks, "id"), "id")
     whole = ["id", "path", "symbol", "start_line", "end_line", "modified", "path_adjust", "comment"]
     parts = cut_lineage(met.select(*whole, F.explode(F.transform("_asked", for_query)).alias("_x")).select(*whole, "_x.*"))
     span = parts.groupBy("query_id").agg(F.min("modified").alias("_lo"), F.max("modified").alias("_hi"))

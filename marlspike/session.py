@@ -61,7 +61,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread_rows(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for steps that take much time for few bytes.
 
-    A table of more partitions than cores, as any large one is, stays as it is and is not shuffled.
+    A table of more partitions than cores, as any large one is, stays as it is and is not shuffled. Meant for tables as read or
+    checkpointed: a plan with shuffles would be run to count its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
