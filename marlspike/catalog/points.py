@@ -171,8 +171,10 @@ def module_importers(spark, root):
  h3 AS (SELECT DISTINCT f2.s, e.b AS n FROM f2 JOIN e ON f2.n = e.a), f3 AS (SELECT s, n, 3 AS h FROM h3 WHERE (s, n) NOT IN (SELECT s, n FROM h1) AND (s, n) NOT IN (SELECT s, n FROM f2))
 SELECT s AS start, n AS node, h::INT AS hops FROM (SELECT s, n, 1 AS h FROM h1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3)""")
 def call_closure(spark, root):
-    d = _declaring(spark, root).where("symbol <> ''")
-    return graph.reachable(cut_lineage(d.select(F.col("symbol").alias("a"), F.explode("calls").alias("b"))), 3)
+    """The symbol is read before the current rows are found, so that no text is shuffled."""
+    c = table(spark, root, "code_chunk").withColumn("symbol", hybrid.declared_symbol(F.col("chunk_text")))
+    d = current_rows(c, "chunk_id", ["symbol", "calls"]).where("symbol <> ''")
+    return graph.reachable(d.select(F.col("symbol").alias("a"), F.explode("calls").alias("b")), 3)
 
 
 @query("test_points", f"""SELECT chunk_id AS id FROM {CHUNKS} WHERE regexp_matches(path, '^(.*/tests/.*|tests/.*|.*test_.*|.*_test\\..*|.*\\.spec\\..*|.*\\.test\\..*)$')""")

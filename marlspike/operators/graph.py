@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, tokens
-from ..session import rounded
+from ..session import cut_lineage, rounded
+
+#: Bytes of names and links up to which a graph goes to every task; nodes from which a task walks, and rows that it gives at a time.
+GRAPH_BYTES, STARTS, ROWS = 96 << 20, 1_000, 50_000
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
@@ -113,8 +121,23 @@ def importers(chunks: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, hops: int) -> DataFrame:
-    """(start, node, hops): what can be reached from each node in at most ``hops`` steps, with the fewest of them. ``edges``: a, b."""
-    once = edges.select("a", "b").where("a is not null and b is not null").distinct()
+    """(start, node, hops): what can be reached from each node in at most ``hops`` steps, with the fewest of them. ``edges``: a, b.
+
+    The pairs are many times the links. So a graph of at most GRAPH_BYTES goes to every task, which walks from its share of the
+    nodes, and no pair is shuffled; a larger one is joined step by step.
+    """
+    kinds = {edges.schema[c].dataType.simpleString() for c in ("a", "b")}
+    whole = edges.select("a", "b").where("a is not null and b is not null")
+    if len(kinds) > 1 or not kinds <= {"string", "int", "bigint"}:
+        return _joined(whole.distinct(), hops)
+    lists = cut_lineage(whole.groupBy("a").agg(F.collect_set("b").alias("bs")))
+    length = lambda c: F.octet_length(c.cast("string")).cast("bigint") + 8
+    size = lists.agg(F.sum(F.aggregate("bs", length(F.col("a")), lambda n, b: n + length(b)))).first()[0] or 0
+    return _walked(lists, hops) if size <= GRAPH_BYTES else _joined(lists.select("a", F.explode("bs").alias("b")), hops)
+
+
+def _joined(once: DataFrame, hops: int) -> DataFrame:
+    """``reachable`` of distinct edges by joins of pairs."""
     found = once.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("hops"))
     front = found
     for h in range(2, hops + 1):
@@ -124,6 +147,59 @@ def reachable(edges: DataFrame, hops: int) -> DataFrame:
     return found
 
 
+def _walked(lists: DataFrame, hops: int) -> DataFrame:
+    """``reachable`` of a graph that fits in memory; ``lists``: a, bs, one row for each node that links lead from."""
+    spark, kind = lists.sparkSession, lists.schema["a"].dataType.simpleString()
+    held = lists.toArrow()
+    starts, ends = held["a"].combine_chunks(), held["bs"].combine_chunks()
+    coded = pa.concat_arrays([starts, ends.flatten()]).dictionary_encode()  # in order of appearance: the starts come first
+    at = np.zeros(len(coded.dictionary) + 1, np.int64)
+    at[1 : len(starts) + 1] = pc.list_value_length(ends).to_numpy(zero_copy_only=False)
+    shared = spark.sparkContext.broadcast((coded.dictionary, at.cumsum(), coded.indices.to_numpy(zero_copy_only=False)[len(starts) :]))
+
+    def rows(found: list[tuple[int, int, np.ndarray]], names: pa.Array) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(nodes) for *_, nodes in found])
+        start, hop = (np.repeat(np.array([x[i] for x in found], np.int32), size) for i in (0, 1))
+        node = np.concatenate([x[2] for x in found])
+        for lo in range(0, len(node), ROWS):
+            part = slice(lo, lo + ROWS)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(start[part])), names.take(pa.array(node[part])), pa.array(hop[part])], ["start", "node", "hops"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, at, links = shared.value
+        seen, place = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        found: list[tuple[int, int, np.ndarray]] = []
+        waiting = 0
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                levels = [links[at[start] : at[start + 1]]]
+                seen[levels[0]] = True
+                while len(levels) < hops and len(levels[-1]):
+                    begin = at[levels[-1]]
+                    n = at[levels[-1] + 1] - begin
+                    last = n.cumsum()
+                    new = links[np.arange(last[-1]) + np.repeat(begin - last + n, n)]
+                    new = new[~seen[new]]
+                    order = np.arange(len(new))
+                    place[new] = order
+                    new = new[place[new] == order]  # each node once
+                    seen[new] = True
+                    levels.append(new)
+                for h, nodes in enumerate(levels, 1):
+                    seen[nodes] = False
+                    if len(nodes):
+                        found.append((start, h, nodes))
+                        waiting += len(nodes)
+                if waiting >= ROWS:
+                    yield from rows(found, names)
+                    found, waiting = [], 0
+        if found:
+            yield from rows(found, names)
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(starts) // STARTS))
+    return spark.range(0, len(starts), 1, tasks).mapInArrow(walk, f"start {kind}, node {kind}, hops int")
+
+
 #: Path globs of the preset searches.
 PRESETS = {"tests": ("*/tests/*", "tests/*", "*test_*", "*_test.*", "*.spec.*", "*.test.*"), "config": ("*.yml", "*.yaml", "*.json", "*.toml", "*.ini", "*config*")}
 

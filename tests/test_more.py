@@ -89,6 +89,25 @@ def test_rules(spark):
     assert expand.implied_query({"symbol": "fooBar", "under": "src/pool"}) == "foo bar src pool"
 
 
+def test_reachable_pairs_are_not_shuffled(spark, monkeypatch):
+    links = {(a, (a * a + k * k * 7 + k) % 90) for a in range(60) for k in range(5)}
+    near: dict[int, set[int]] = {a: {b for x, b in links if x == a} for a in range(90)}
+    want = {}
+    for s in range(60):
+        front, seen = near[s], set()
+        for h in (1, 2, 3):
+            want |= {(f"n{s}", f"n{b}", h): 1 for b in front - seen}
+            seen, front = seen | front, {c for b in front - seen for c in near[b]}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links] * 2 + [(None, "n1"), ("n1", None)], "a string, b string")
+    monkeypatch.setattr(graph, "ROWS", 7)
+    walked = graph.reachable(edges, 3)
+    assert "Exchange" not in walked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, walked.collect())) == sorted(want)
+    monkeypatch.setattr(graph, "GRAPH_BYTES", 0)
+    assert sorted(map(tuple, graph.reachable(edges, 3).collect())) == sorted(want)
+    assert graph.reachable(edges.where("a = 'none'"), 3).isEmpty()
+
+
 def test_walks_and_variants(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), (None, "a")], "a string, b string")
     assert {(r.start, r.node): r.hops for r in graph.reachable(edges, 3).where("start = 'a'").collect()} == {("a", "b"): 1, ("a", "c"): 2, ("a", "a"): 3, ("a", "d"): 3}
