@@ -144,6 +144,24 @@ def test_clusters_of_many_copies(spark, noise):
     assert got == {("a00", i) for i, _ in rows[:40]} | {("c00", i) for i, _ in rows[40:]} == components(rows)
 
 
+def test_a_pass_that_joins_clusters_has_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = np.eye(8)[0], 0.8 * np.eye(8)[0] + 0.6 * np.eye(8)[1]
+    rows = [(f"{n}{i:02d}", [float(v) for v in (1 + i) * (x + 1e-4 * rng.normal(size=8))]) for n, x in (("a", a), ("b", b)) for i in range(20)]
+    start = clustering.start_graph
+
+    def marked(*args, **kwargs):
+        spark.sparkContext.setJobGroup(f"pass {kwargs.get('seed')}", "")
+        return start(*args, **kwargs)
+
+    monkeypatch.setattr(clustering, "start_graph", marked)
+    found = clustering.Clusters(spark.createDataFrame(rows, "id string, vec array<double>"), "id", "vec", 8)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pass 101"))
+    spark.sparkContext.setJobGroup("", "")
+    assert found.passes == 2 and {(r.cluster, r.id) for r in found.members().collect()} == components(rows)
+    assert 0 < jobs <= 39, jobs
+
+
 def test_clusters_with_every_centroid_fifty_times(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
